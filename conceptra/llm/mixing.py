@@ -92,3 +92,23 @@ def in_order(mixed: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def materialize(docs: DataFrame) -> DataFrame:
+    """The mix as rows of ``docs``, in training order: a row for each pass, the last one cut to the words taken.
+
+    A cut text keeps its first words with the white space between them. ``n_chars`` follows the text,
+    where there is one. Repeated rows of one doc_id and size take the largest of their shares.
+    """
+    shares = mix(docs).groupBy(F.col("doc_id").alias("of"), F.col("size").alias("of_size")).agg(F.max("taken").alias("taken"), F.min("position").alias("position")).filter("taken > 0")
+    text, size = F.coalesce(F.col("text"), F.lit("")), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    rows = docs.withColumn("of_size", size).join(shares, (F.col("doc_id") == F.col("of")) & F.col("of_size").eqNullSafe(shares["of_size"])).drop(shares["of_size"])
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("of_size")))))
+    words = F.least(F.col("of_size"), F.col("taken") - (F.col("pass") - 1) * F.col("of_size"))
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)")), F.lit(1), words.cast("int")), "")
+    rows = rows.withColumn("text", F.when(words < F.col("of_size"), cut_text).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    when = F.col("position") + (F.col("pass") - 1) / F.ceil(F.col("taken") / F.col("of_size"))
+    rows = rows.withColumn("when_", when).repartitionByRange("when_", "doc_id").sortWithinPartitions("when_", "doc_id")
+    return rows.select(docs.columns)

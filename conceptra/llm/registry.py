@@ -11,6 +11,7 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op2_language_id
 from .mixing import op4_mixing
 from .ngram_join import op1_ngram_join
+from .packing import op6_packing
 from .repeats import op5_repeats
 from .sentence_spans import op10_sentence_spans
 from .sharding import op3_sharding
@@ -18,7 +19,7 @@ from .token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_mixing, op5_repeats, op7_embedding_dedup, op8_token_counts, op9_exact_dedup, op10_sentence_spans)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_sharding, op4_mixing, op5_repeats, op6_packing, op7_embedding_dedup, op8_token_counts, op9_exact_dedup, op10_sentence_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
