@@ -100,15 +100,19 @@ def materialize(docs: DataFrame) -> DataFrame:
     A cut text keeps its first words with the white space between them. ``n_chars`` follows the text,
     where there is one. Repeated rows of one doc_id and size take the largest of their shares.
     """
-    shares = mix(docs).groupBy(F.col("doc_id").alias("of"), F.col("size").alias("of_size")).agg(F.max("taken").alias("taken"), F.min("position").alias("position")).filter("taken > 0")
-    text, size = F.coalesce(F.col("text"), F.lit("")), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.withColumn("of_size", size).join(shares, (F.col("doc_id") == F.col("of")) & F.col("of_size").eqNullSafe(shares["of_size"])).drop(shares["of_size"])
-    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("of_size")))))
-    words = F.least(F.col("of_size"), F.col("taken") - (F.col("pass") - 1) * F.col("of_size"))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)")), F.lit(1), words.cast("int")), "")
-    rows = rows.withColumn("text", F.when(words < F.col("of_size"), cut_text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    when = F.col("position") + (F.col("pass") - 1) / F.ceil(F.col("taken") / F.col("of_size"))
-    rows = rows.withColumn("when_", when).repartitionByRange("when_", "doc_id").sortWithinPartitions("when_", "doc_id")
-    return rows.select(docs.columns)
+    shares = mix(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"), F.min("position").alias("position")).filter("taken > 0")
+    blank = F.coalesce(F.col("text"), F.lit(""))
+    size = F.regexp_count(blank, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    # the whole row goes along in one column, so that its names clash with none of these
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", size.alias("size")).join(shares, ["doc_id", "size"])
+    passes = F.ceil(F.col("taken") / F.col("size"))
+    rows = rows.select("row", "doc_id", "size", "taken", "position", passes.alias("passes"), F.explode(F.sequence(F.lit(1).cast("long"), passes)).alias("pass"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size"))
+    first = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)")), F.lit(1), words.cast("int"))
+    text = F.when(words < F.col("size"), F.array_join(first, "")).otherwise(F.col("row.text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    when = (F.col("position") + (F.col("pass") - 1) / F.col("passes")).alias("when")
+    rows = rows.select(F.struct(*(c.alias(n) for n, c in columns.items())).alias("row"), when, "doc_id")
+    return rows.repartitionByRange("when", "doc_id").sortWithinPartitions("when", "doc_id").select("row.*")
