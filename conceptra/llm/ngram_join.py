@@ -15,9 +15,12 @@ these has no partner and leaves early. Equal sets are one class, represented by
 
 Frequencies are counted on blocks: a batch of texts sends each bucket of tokens one compressed row
 and gets back which of its tokens occur elsewhere; a token frequent within a batch stays there, so
-that no bucket gathers a hot token's documents. Candidates of a key are first compared with the
-key's smallest and largest ids and further leaders; what is then still in another component is
-compared in full, so that a group of near copies costs rows in proportion to its size. Every
+that no bucket gathers a hot token's documents. Candidates of a key with few texts are compared with
+the key's smallest and largest ids, which is all pairs of three; in larger keys every text is
+compared with one leader a round, so that a group of near copies costs rows in proportion to its
+size. What is still in another component after some rounds is compared in full. A parity sketch
+(1,024 bits, each the parity of the tokens that fall on it) bounds the symmetric difference of two
+sets from below and drops pairs that cannot link before their sets are fetched. Every other
 candidate is verified on the exact counts of its hashes.
 
 Null, empty and blank texts have no shingles and link with nothing. Repeated rows fall into one
@@ -44,6 +47,7 @@ PERCENT, PERCENT_OF = 80, 100
 FREQUENT = 64
 #: Bytes of text in a batch, and characters of text for each bucket of tokens.
 BATCH_BYTES, BUCKET_CHARS = 6 << 20, 8 << 20
+SKETCH_BITS = 1024
 
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LENGTH = np.uint64(0xE7037ED1A0B428DB)
@@ -84,6 +88,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _sketch(hashes: np.ndarray, owner: np.ndarray, by_text: np.ndarray, ends: np.ndarray, first: int) -> np.ndarray:
+    """Parity sketches of up to 1,000 texts, as SKETCH_BITS / 64 longs each."""
+    last = min(first + 1000, len(ends))
+    own = by_text[ends[first - 1] if first else 0 : ends[last - 1]]
+    at = (owner[own].astype(np.int64) - first) * SKETCH_BITS + (hashes[own] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=(last - first) * SKETCH_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(last - first, -1)
+
+
 _BLOCK = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary()), ("meta", pa.binary())])
 BLOCK_SCHEMA = "bucket int, batch long, tokens binary, counts binary, owners binary, meta binary"
 
@@ -110,6 +123,7 @@ def _blocks(buckets: int):
                 token, count = hashes[edge], np.diff(edge, append=len(hashes))
                 hot = count >= FREQUENT
                 keep = ~np.repeat(hot, count)
+                sketch = np.concatenate([_sketch(hashes, owner, by_text, np.cumsum(size), c) for c in range(0, b - a, 1000)])
                 key = (TaskContext.get().partitionId() << 32) | number
                 number += 1
                 bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -120,7 +134,7 @@ def _blocks(buckets: int):
                     s, e = cuts[k], cuts[k + 1]
                     if e > s:
                         rows.append((k, key, pack(token[s:e]), np.minimum(count[s:e], FREQUENT).astype(np.uint8).tobytes(), kept_owner[upto[s] : upto[e]].tobytes(), None))
-                meta = np.concatenate([ids[a:b], size, *sums]).tobytes()
+                meta = np.concatenate([ids[a:b], size, *sums, *sketch.T]).tobytes()
                 own = int(mix64(np.array([key], np.uint64))[0] % np.uint64(buckets))
                 rows.append((own, key, pack(token[hot]), count[hot].astype(np.uint16).tobytes(), owner[~keep].tobytes(), meta))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
@@ -168,8 +182,8 @@ def signatures(n: int, tokens: np.ndarray, level: np.ndarray) -> np.ndarray | No
     return np.concatenate([tokens[:rare], pairs])
 
 
-_SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("shared", pa.binary())])
-SET_SCHEMA = "doc_id long, n long, d1 long, d2 long, keys array<long>, shared binary"
+_SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("shared", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+SET_SCHEMA = "doc_id long, n long, d1 long, d2 long, keys array<long>, shared binary, sketch array<long>"
 
 
 def _assembled(table: pa.Table) -> pa.Table:
@@ -178,7 +192,7 @@ def _assembled(table: pa.Table) -> pa.Table:
     for r in table.to_pylist():
         found = unpack(r["tokens"])
         if r["meta"] is not None:
-            ids, size, d1, d2 = np.frombuffer(r["meta"], np.int64).reshape(4, -1)
+            ids, size, d1, d2, *sketch = np.frombuffer(r["meta"], np.int64).reshape(4 + SKETCH_BITS // 64, -1)
             count, lv = np.frombuffer(r["counts"], np.uint16), np.full(len(found), FREQUENT, np.uint8)
         else:
             lv, count = np.frombuffer(r["counts"], np.uint8).reshape(2, -1)
@@ -189,13 +203,14 @@ def _assembled(table: pa.Table) -> pa.Table:
     order = np.lexsort((token, owner))
     token, level = token[order], level[order]
     ends = np.cumsum(np.bincount(owner, minlength=len(ids)))
-    keys, shared, start = [], [], 0
-    for n, end in zip(size.tolist(), ends.tolist()):
+    keys, shared, sketches, start = [], [], [], 0
+    for n, end, parity in zip(size.tolist(), ends.tolist(), np.stack(sketch, 1)):
         own = signatures(n, token[start:end], level[start:end]) if n else None
         keys.append(None if own is None else own.view(np.int64))
         shared.append(None if own is None else token[start:end].tobytes())
+        sketches.append(None if own is None else parity)
         start = end
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((ids, size, d1, d2, keys, shared), _SET.types)], schema=_SET)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip((ids, size, d1, d2, keys, shared, sketches), _SET.types)], schema=_SET)
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
@@ -215,56 +230,68 @@ def _verified(batches):
         yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
 
+def near(a: str, b: str, n: str, m: str):
+    """Whether two sets of n and m tokens may link, by their sizes and sketches.
+
+    A linking pair differs in a fifth of its union at most, and its union is (n + m) / 1.8 at most.
+    """
+    differ = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_BITS // 64))
+    return F.expr(f"{PERCENT_OF} * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) AND ({differ}) * {PERCENT_OF + PERCENT} <= {PERCENT_OF - PERCENT} * ({n} + {m})")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    near = f"{PERCENT_OF} * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
-    return pairs.join(right, "b").join(left, "a").filter(near).mapInPandas(_verified, "a long, b long")
+    """The pairs (a, b) that link. Sketches are compared first, and sets fetched for what is left."""
+    small = sets.select("doc_id", "n", "sketch")
+    x, y = (small.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    some = pairs.join(y, "b").join(x, "a").filter(near("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b")
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shared").alias(f"shared_{c}")) for c in "ab")
+    return some.join(right, "b").join(left, "a").mapInPandas(_verified, "a long, b long")
 
 
 #: Rounds of leaders at most, before what is left is compared in full.
-ROUNDS = 6
+ROUNDS = 8
+#: A key of so many texts is done when they have met its smallest and largest ids.
+FEW = 3
+
+
+def _pairs(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def linked(sets: DataFrame) -> DataFrame:
-    """(node, component) of the linked ids among rows (doc_id, n, keys, shared) with distinct sets."""
-    postings = cut(sets.select("doc_id", "n", F.explode("keys").alias("key")))
-    keys = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    ends = postings.join(keys, "key").select("key", "doc_id", "n", "low", "high")
-    active = cut(ends)
-    lead = active.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(active.select("doc_id", "high")).filter("a < b").distinct()
-    links = [cut(verify(lead, sets))]
-    active, last = active.select("key", "doc_id", "n"), None
-    near = f"{PERCENT_OF} * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
-    for turn in range(ROUNDS):
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        labels = cut(components(every))
-        marked = active.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    """(node, component) of the linked ids among rows (doc_id, n, keys, shared, sketch) with distinct sets."""
+    postings = cut(sets.select("doc_id", F.explode("keys").alias("key")))
+    keys = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("texts")).filter("low < high")
+    active = cut(postings.join(keys, "key"))
+    few, many = active.filter(F.col("texts") <= FEW), active.filter(F.col("texts") > FEW)
+    one = many.groupBy("doc_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    lead = few.select(*_pairs("low", "doc_id")).union(few.select(*_pairs("doc_id", "high"))).union(one.select(*_pairs("low", "doc_id"))).union(one.select(*_pairs("doc_id", "high")))
+    found = cut(verify(lead.filter("a < b").distinct(), sets))
+    active, last = many.select("key", "doc_id"), None
+    for turn in range(ROUNDS + 1):
+        labels = cut(components(found))
+        marked = active.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
         marked = cut(marked)
-        groups = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "n")).alias("one"))
+        groups = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("one"))
         stat = groups.groupBy("key").agg(F.max(F.struct("g", "label", "one")).alias("main"), F.sum("g").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        stat = cut(stat.select("key", F.col("main.label").alias("main"), F.col("main.one.doc_id").alias("leader"), F.col("main.one.n").alias("leader_n"), "all", (F.col("all") - F.col("main.g")).alias("minor")))
-        rows, cross = stat.agg(F.sum("all"), F.sum(F.col("all") * F.col("minor"))).first()
+        stat = cut(stat.select("key", F.col("main.label").alias("main"), F.col("main.one").alias("leader"), (F.col("all") - F.col("main.g")).alias("minor")))
+        rows = stat.agg(F.sum("minor")).first()[0]
         if not rows:
             return labels
         open_ = marked.join(stat, "key")
-        if cross <= 8 * rows or turn == ROUNDS - 1 or (last and cross > 0.8 * last):
-            small, large = open_.filter("label != main"), open_
-            pairs = small.alias("x").join(large.alias("y"), (F.expr("x.key = y.key AND x.label != y.label AND (y.label = y.main OR x.doc_id < y.doc_id)") & F.expr(near)))
-            pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-            links.append(cut(verify(pairs, sets)))
-            break
-        last = cross
-        pairs = open_.filter("label != main").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        links.append(cut(verify(pairs, sets)))
-        active = open_.select("key", "doc_id", "n")
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    return components(every)
+        minor = open_.filter("label != main")
+        if turn == ROUNDS or last is not None and rows > 0.9 * last:
+            small = sets.select("doc_id", "n", "sketch")
+            x, y = minor.join(small, "doc_id").alias("x"), open_.join(small, "doc_id").alias("y")
+            crossing = F.expr("x.key = y.key AND x.label != y.label AND (y.label = y.main OR x.doc_id < y.doc_id)")
+            pairs = x.join(y, crossing & near("x.sketch", "y.sketch", "x.n", "y.n")).select(*_pairs("x.doc_id", "y.doc_id")).distinct()
+            return components(found.union(cut(verify(pairs, sets))))
+        last = rows
+        # one leader for each text: the main component's, of the key where its hash is least
+        pairs = minor.groupBy("doc_id").agg(F.min("leader").alias("leader")).select(*_pairs("doc_id", "leader.doc_id")).distinct()
+        found = cut(found.union(verify(pairs, sets)))
+        active = open_.select("key", "doc_id")
+    raise AssertionError("the last round returns")
 
 
 def release(spark: SparkSession) -> None:
@@ -281,7 +308,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     same = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
     named = cut(every.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
     firsts = named.select("class_id").distinct().withColumnRenamed("class_id", "doc_id")
-    sets = cut(every.filter("keys IS NOT NULL").select("doc_id", "n", "keys", "shared").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sets = cut(every.filter("keys IS NOT NULL").select("doc_id", "n", "keys", "shared", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     release(spark)
     found = linked(sets).withColumnRenamed("node", "class_id")
     rows = named.join(found, "class_id", "left")
