@@ -29,7 +29,7 @@ from .ngram_join import pack, release, unpack
 
 WINDOW, GRAM = 100, 24
 GRAMS = WINDOW - GRAM + 1
-BATCH_BYTES, BUCKET_CHARS, BUCKET_CONTEXTS = 6 << 20, 8 << 20, 40_000
+BATCH_BYTES, BUCKET_CHARS, BUCKET_CONTEXTS = 6 << 20, 8 << 20, 10_000
 _POSITION = np.uint64((1 << 28) - 1)
 #: A longer text is taken in overlapping parts.
 PART_BYTES = 1 << 24
@@ -185,17 +185,18 @@ class SuffixArray:
     @staticmethod
     def _rank(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
-        step = np.zeros(len(key), np.int64)
-        step[1:] = key[order][1:] != key[order][:-1]
-        out = np.empty(len(key), np.int64)
+        step = np.zeros(len(key), np.uint32)
+        key = key[order]
+        step[1:] = key[1:] != key[:-1]
+        out = np.empty(len(key), np.uint32)
         out[order] = np.cumsum(step) + 1
         return out
 
     @staticmethod
     def _pair(rank: np.ndarray, shift: int) -> np.ndarray:
-        later = np.zeros(len(rank), np.int64)
+        later = np.zeros(len(rank), np.uint32)
         later[: max(0, len(rank) - shift)] = rank[shift:]
-        return rank.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
+        return rank.astype(np.uint64) << np.uint64(32) | later
 
     def prefix(self, at: np.ndarray, size: int) -> np.ndarray:
         """Keys that are equal exactly for positions with equal prefixes of this size (56 to 112)."""
