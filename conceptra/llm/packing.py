@@ -1,9 +1,8 @@
 """Packing of tokenised documents into windows, with lexical retrieval.
 
-Documents are range-partitioned by a sketch of their words (the least hash of a word pair), so that
-texts that share wording meet in one shard, and a large group of equal sketches still spreads over
-several shards by id. Each shard is read in segments of bounded size; a segment has an inverted
-index with BM25 weights. A window starts with a seed document (or what is left of the one that was
+The index is sharded by document: documents are dealt by their ids' hashes, so that no group of texts
+makes a shard large. Each shard is read in segments of bounded size; a segment has an inverted index
+with BM25 weights. A window starts with a seed document (or what is left of the one that was
 cut last), asks the index for the seed's unused neighbours and takes them in order of their scores
 until it is full; the last one is cut and its rest starts the next window. Without a neighbour, the
 next unused document is taken. Only the last window of a shard can stay short.
@@ -23,38 +22,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, mix64, word_hashes
+from .common import chunks, documents, word_hashes
 
 LENGTH, END = 4096, 2
 #: Characters of text for a shard, and tokens for a segment.
 SHARD_CHARS, SEGMENT_TOKENS = 6 << 20, 1_500_000
 K1, B = 1.2, 0.75
-#: Words that a worker remembers between segments before it starts afresh.
+#: Words in a generation of those that a worker remembers.
 REMEMBERED = 500_000
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizers file that drops white space, each distinct word encoded once."""
+    """Ids of texts by a tokenizers file that drops white space, each distinct word encoded once.
+
+    Words that were used lately are remembered in two generations, so that frequent ones stay.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.uint32 if self.wide else np.uint16
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint32 if len(vocabulary) > 1 << 16 else np.uint16
+        # tokens that end a word
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
+        # words of letters end with the one token that says so: many are encoded as one text
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for a in range(0, len(letters), 2000):
+            own = letters[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                odd += own
+                continue
+            data, width, at = ids.tobytes(), self.kind().itemsize, 0
+            for i, end in zip(own, (ends * width).tolist()):
+                self.known[words[i]] = data[at:end]
+                at = end
+        for a in range(0, len(odd), 2000):
+            own = odd[a : a + 2000]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)):
+                self.known[words[i]] = np.array(e.ids, self.kind).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         # A-Z are lower-cased by the tokenizer anyway; special tokens are matched before that
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = {w for words in split for w in words if w not in known}
+        missing = set().union(*split).difference(known)
+        for w in missing.intersection(before):
+            known[w] = before[w]
+            missing.discard(w)
         # the pattern splits between a letter and what is none, so marks after a-z can be taken apart
         apart, alone = [], set()
         for w in missing:
@@ -68,7 +92,17 @@ class WordTokenizer:
         self._encode([w for w in alone if w not in known])
         for w, core in apart:
             known[w] = known[core] + known[w[len(core) :]]
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), self.kind).astype(np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), self.kind) for words in split]
+
+
+_encoders: dict[str, WordTokenizer] = {}
+
+
+def encoder(path: str) -> WordTokenizer:
+    """One encoder for a worker process; what it remembers serves all tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordTokenizer(path)
+    return _encoders[path]
 
 
 class Bm25:
@@ -133,31 +167,13 @@ def windows(sizes: list[int], index: Bm25, room: int, length: int = LENGTH):
             found = iter(index.neighbours(text, used).tolist())
 
 
-def _sketched(batches):
-    for batch in batches:
-        texts = [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").to_pylist()]
-        out = []
-        for a, b in chunks([len(t) for t in texts]):
-            words, counts = word_hashes(texts[a:b])
-            pairs = mix64(words + np.uint64(0x9E3779B97F4A7C15) * np.concatenate([words[1:], np.zeros(min(1, len(words)), np.uint64)]))
-            ends, low = np.cumsum(counts), np.zeros(b - a, np.uint64)
-            some = counts > 1
-            # the last word of a text has no pair in it
-            pairs[ends[counts > 0] - 1] = np.iinfo(np.uint64).max
-            if counts.sum():
-                least = np.minimum.reduceat(pairs, np.minimum(ends - counts, len(pairs) - 1))
-                low[some] = least[some]
-            out.append(mix64(low).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], ["doc_id", "text", "sketch"])
-
-
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
 
 def _packed(path: str, length: int, with_ids: bool):
     def run(batches):
-        encode, at = WordTokenizer(path), 0  # at: tokens in the shard so far
+        encode, at = encoder(path), 0  # at: tokens in the shard so far
         base = TaskContext.get().partitionId() << 32
         docs, texts, ids, total = [], [], [], 0
 
@@ -177,7 +193,7 @@ def _packed(path: str, length: int, with_ids: bool):
                 for doc, text, found in zip(names[a:b], own[a:b], encode(own[a:b])):
                     docs.append(doc)
                     texts.append(text)
-                    ids.append(np.append(found, np.uint32(END)))
+                    ids.append(np.append(found, found.dtype.type(END)))
                     total += len(ids[-1])
                     if total >= SEGMENT_TOKENS:
                         yield flush()
@@ -192,8 +208,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True
     """One row per piece: where it comes from (doc_id, start, length, doc_tokens), where it goes (sequence_id, offset), its ids."""
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    sketched = docs.mapInArrow(_sketched, "doc_id long, text string, sketch long")
-    return sketched.repartitionByRange(max(1, chars // SHARD_CHARS), "sketch", "doc_id").select("doc_id", "text").mapInArrow(_packed(path, length, with_ids), PIECE_SCHEMA)
+    return docs.repartition(max(1, chars // SHARD_CHARS), "doc_id").mapInArrow(_packed(path, length, with_ids), PIECE_SCHEMA)
 
 
 def tokenizer_path() -> str:
