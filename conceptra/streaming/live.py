@@ -46,7 +46,7 @@ def refresh(spark: SparkSession, model: Model, source: str, stream: DataFrame, c
     """Appends every batch of a stream to the tables of the concepts that have the strategy Append."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        own = Engine(spark, model, base=base, sources={source: rows})
+        own = Engine(rows.sparkSession, model, base=base, sources={source: rows})
         for name, definition in model.concepts.items():
             note = definition.annotation("Materialized")
             if note and note.get("strategy") == A.Lit.of("Append"):
