@@ -12,7 +12,8 @@ extends to such a maximal repeat with the same occurrences, so exactly the bytes
 100-byte string that also starts earlier are removed.
 
 Null and empty texts have no bytes and stay; texts below 100 bytes stay. Repeated rows of one doc_id
-have equal positions, so none is earlier. Matches never cross texts. Only doc_id and text are read.
+have equal positions, so none is earlier. A row without an id is left as it is and repeats nothing.
+Matches never cross texts. Only doc_id and text are read. No rows in: no rows out.
 """
 
 from __future__ import annotations
@@ -270,8 +271,22 @@ def _compared(table: pa.Table) -> pa.Table:
         size.append(np.full(int(later.sum()), length, np.int32))
     if not doc:
         return pa.Table.from_arrays([pa.array([], t) for t in _FOUND.types], schema=_FOUND)
-    doc = np.concatenate(doc)
-    return pa.Table.from_arrays([pa.array(doc), pa.array(np.concatenate(at)), pa.array(np.concatenate(size)), pa.nulls(len(doc), pa.int64())], schema=_FOUND)
+    doc, at, size = united(*map(np.concatenate, (doc, at, size)))
+    return pa.Table.from_arrays([pa.array(doc), pa.array(at), pa.array(size.astype(np.int32)), pa.nulls(len(doc), pa.int64())], schema=_FOUND)
+
+
+def united(doc: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """The union of ranges, document by document. Nested repeats cover the same bytes again and again."""
+    order = np.lexsort((start, doc))
+    doc, start, size = doc[order], start[order], size[order].astype(np.int64)
+    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    # one axis for all documents: the ends reached so far within each
+    span = int((start + size).max()) + 1
+    reach = np.maximum.accumulate(number * span + start + size)
+    fresh = np.concatenate([[True], (number * span + start)[1:] > reach[:-1]])
+    first = np.flatnonzero(fresh)
+    last = np.concatenate([first[1:] - 1, [len(doc) - 1]])
+    return doc[first], start[first], reach[last] - number[first] * span - start[first]
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -308,7 +323,7 @@ def _removed(batches):
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, size) of the byte ranges to remove; they overlap."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = docs.mapInArrow(_blocks(max(8, -(-chars // BUCKET_CHARS))), BLOCK_SCHEMA)
     found = cut(blocks.groupBy("bucket").applyInArrow(_sorted_out, FOUND_SCHEMA))
