@@ -3,13 +3,14 @@
 A text is cut after runs of ``.``, ``!``, ``?`` or line breaks with the white space that follows. A
 span starts at every sentence and runs over the fewest consecutive sentences that are at least
 ``MIN_SENTENCES`` and ``MIN_CHARS`` characters long (a single sentence of ``LONE_CHARS`` is a span of
-its own). Spans are hashed (128 bits) and counted over all documents with map-side combination; of
+its own); where the rest of a text is too short for one, the last span is there a second time with the
+rest. Spans are hashed (128 bits) and counted over all documents with map-side combination; of
 equal spans the first is that of the smallest (doc_id, position). Sentences that any other
 occurrence covers are removed, all others stay as they are.
 
 Null and empty texts have no spans and stay. Sentences are compared without surrounding white space.
-Repeated rows of one doc_id hold the same positions, so neither removes the other. Extra columns are
-not read. No rows in: no rows out.
+Repeated rows of one doc_id hold the same positions, so neither removes the other. A row without an id
+is left as it is and repeats nothing. Extra columns are not read. No rows in: no rows out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +49,9 @@ def spans(pieces: list[str]) -> list[tuple[int, int, bytes]]:
             total += size[end]
             end += 1
         if not (end - start >= MIN_SENTENCES and total >= MIN_CHARS or total >= LONE_CHARS):
+            if out:  # the rest is too short: once more the last span, up to the end
+                first = out[-1][0]
+                out.append((first, n - first, xxhash.xxh3_128_digest(b"".join(own[first:]))))
             break
         out.append((start, end - start, xxhash.xxh3_128_digest(b"".join(own[start:end]))))
         total -= size[start]
@@ -78,24 +81,26 @@ def _span_rows(batches):
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_span_rows, SPAN_SCHEMA)
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_span_rows, SPAN_SCHEMA)
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """(doc_id, start, n) of every span that also occurs earlier."""
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    return found.join(first, ["h1", "h2"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", "n")
+    # written first, so that a hot span's rows are dealt by nothing but the join, which can split them
+    return found.join(cut(first), ["h1", "h2"]).filter("doc_id != first.doc_id OR start != first.start").select("doc_id", "start", "n")
 
 
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("n_chars_removed", pa.int64()), ("text", pa.string())])
 RESULT_SCHEMA = "doc_id long, n_sentences long, n_removed long, n_chars_removed long, text string"
 
 
 def _apply(batches):
-    for pdf in batches:
+    for batch in batches:
         rows = []
-        for doc, text, gone in zip(pdf["doc_id"], pdf["text"], pdf["gone"]):
-            pieces = sentences(text) if isinstance(text, str) else []
-            if gone is None or not len(gone):
+        for doc, text, gone in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            pieces = sentences(text) if text else []
+            if not gone:
                 rows.append((doc, len(pieces), 0, 0, text))
                 continue
             change = np.zeros(len(pieces) + 1, np.int64)
@@ -105,7 +110,7 @@ def _apply(batches):
             covered = np.cumsum(change[:-1]) > 0
             kept = "".join(p for p, c in zip(pieces, covered) if not c)
             rows.append((doc, len(pieces), int(covered.sum()), len(text) - len(kept), kept))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_sentences", "n_removed", "n_chars_removed", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RESULT.types)] if rows else [pa.array([], t) for t in _RESULT.types], schema=_RESULT)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = cut(span_table(docs))
     lists = repeated(found).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    return docs.join(lists, "doc_id", "left").mapInPandas(_apply, RESULT_SCHEMA)
+    return docs.join(lists, "doc_id", "left").mapInArrow(_apply, RESULT_SCHEMA)
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
