@@ -6,7 +6,7 @@ is appended. Digests are taken of the text without the characters ``[\\x20\\x09-
 
 Null text counts as empty, and empty texts are equal to each other. Of equal texts the row with the
 most code points in its original text wins, then the smallest id; an earlier batch always wins over
-a later one. Repeated rows are counted each. An empty batch leaves the index as it is. Only the id
+a later one. Repeated rows are counted each; rows without an id give way to those with one. An empty batch leaves the index as it is. Only the id
 and text columns are read, so other columns may have any name.
 """
 
@@ -23,10 +23,10 @@ from .common import cut, documents
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, points) of every row."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """(id, digest, points) of every row, after ``extra`` columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256).alias("digest"), F.length(text).cast("long").alias("points"))
+    return df.select(*(extra or []), F.col(id_col).alias("id"), F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256).alias("digest"), F.length(text).cast("long").alias("points"))
 
 
 class DigestIndex:
@@ -56,8 +56,13 @@ class DigestIndex:
         (fresh.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.table))
 
     def lookup(self, keyed: DataFrame) -> DataFrame:
-        """Digested rows with the id of the row that stays and the number of members."""
-        return keyed.join(self.read().select("digest", "keep_id", "members"), "digest")
+        """Digested rows with the id of the row that stays and the number of members.
+
+        The index is met by each digest once, by sort-merge along its buckets; the rows of a digest,
+        which may be very many, then meet what was found in a join that can be split.
+        """
+        hits = cut(keyed.select("digest").distinct().join(self.read().select("digest", "keep_id", "members").hint("merge"), "digest"))
+        return keyed.join(hits, "digest")
 
 
 def dedup(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +79,7 @@ def new_index(spark: SparkSession, rows_hint: int | None = None) -> DigestIndex:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup(documents(spark, sf_dir), new_index(spark))
-    return rows.select(F.col("id").alias("doc_id"), "keep_id", F.col("members").alias("group_size"), (F.col("id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", F.col("members").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 OP9_SQL = r"""
@@ -90,5 +95,7 @@ SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, doc_id = keep_id AS kep
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; for use as a pipeline stage."""
     rows = dedup(docs, new_index(docs.sparkSession))
-    stay = rows.filter("id = keep_id").select(F.col("id").alias("doc_id"))
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    go = rows.filter("NOT id <=> keep_id").select(F.col("id").alias("of"), "digest").distinct()
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    own = digests(whole, extra=["row"])
+    return own.join(go, own["id"].eqNullSafe(go["of"]) & (own["digest"] == go["digest"]), "left_anti").select("row.*")
