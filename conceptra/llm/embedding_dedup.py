@@ -10,7 +10,7 @@ counted where they are found, never listed: a pair that shares several leaves co
 them, and components come from each block's spanning stars.
 
 A vector that is null, empty, zero, or holds null or non-finite components links with nothing, and
-so does a null label; it still gets its row. Vectors of different length do not link. Repeated rows
+so does a null label or id; it still gets its row. Vectors of different length do not link. Repeated rows
 are vectors of their own. Only vec_id, embedding and label are read. No rows in: no rows out.
 """
 
@@ -73,7 +73,7 @@ def usable():
     """Whether a vector can link."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.col("label").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
+    return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
 
 
 def _routed(forests: dict[int, Forest]):

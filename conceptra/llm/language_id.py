@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,20 +131,20 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             names, scores = [], []
-            for a, b in chunks([len(t) if isinstance(t, str) else 0 for t in texts], 1 << 20):
+            for a, b in chunks([len(t) if t else 0 for t in texts], 1 << 20):
                 n, s = model.decide(texts[a:b])
                 names += n
                 scores += s
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names, "score": np.array(scores, float)})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,9 @@ def materialize(docs: DataFrame) -> DataFrame:
     blank = F.coalesce(F.col("text"), F.lit(""))
     size = F.regexp_count(blank, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     # the whole row goes along in one column, so that its names clash with none of these
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", size.alias("size")).join(shares, ["doc_id", "size"])
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", size.alias("size"))
+    shares = shares.withColumnRenamed("doc_id", "of").withColumnRenamed("size", "of_size")
+    rows = rows.join(shares, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")))
     passes = F.ceil(F.col("taken") / F.col("size"))
     rows = rows.select("row", "doc_id", "size", "taken", "position", passes.alias("passes"), F.explode(F.sequence(F.lit(1).cast("long"), passes)).alias("pass"))
     words = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size"))

@@ -24,7 +24,8 @@ sets from below and drops pairs that cannot link before their sets are fetched.
 candidate is verified on the exact counts of its hashes.
 
 Null, empty and blank texts have no shingles and link with nothing. Repeated rows fall into one
-class. Only doc_id and text are read. No rows in: no rows out.
+class. A row without an id is not compared; it comes back with nulls. Only doc_id and text are read.
+No rows in: no rows out.
 """
 
 from __future__ import annotations
@@ -215,7 +216,7 @@ def _assembled(table: pa.Table) -> pa.Table:
 
 def token_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, digest (d1, d2), index keys and shared tokens of every row."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = docs.mapInArrow(_blocks(max(8, -(-chars // BUCKET_CHARS))), BLOCK_SCHEMA)
     return blocks.groupBy("bucket").applyInArrow(_answers, BLOCK_SCHEMA).groupBy("batch").applyInArrow(_assembled, SET_SCHEMA)
@@ -262,7 +263,7 @@ def linked(sets: DataFrame) -> DataFrame:
     """(node, component) of the linked ids among rows (doc_id, n, keys, shared, sketch) with distinct sets."""
     postings = cut(sets.select("doc_id", F.explode("keys").alias("key")))
     keys = postings.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("texts")).filter("low < high")
-    active = cut(postings.join(keys, "key"))
+    active = cut(postings.join(cut(keys), "key"))
     few, many = active.filter(F.col("texts") <= FEW), active.filter(F.col("texts") > FEW)
     one = many.groupBy("doc_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     lead = few.select(*_pairs("low", "doc_id")).union(few.select(*_pairs("doc_id", "high"))).union(one.select(*_pairs("low", "doc_id"))).union(one.select(*_pairs("doc_id", "high")))
@@ -311,8 +312,9 @@ def join_components(docs: DataFrame) -> DataFrame:
     sets = cut(every.filter("keys IS NOT NULL").select("doc_id", "n", "keys", "shared", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     release(spark)
     found = linked(sets).withColumnRenamed("node", "class_id")
-    rows = named.join(found, "class_id", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    rows = named.join(found, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return rows.union(docs.filter("doc_id IS NULL").select("doc_id", none, none, none))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

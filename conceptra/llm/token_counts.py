@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import chunks, documents
 
 MARK = "▁"
 #: Score of a token that stands for a byte.
@@ -78,14 +78,15 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         counter = TrieCounter(load_pieces(path))
-        for pdf in batches:
-            texts = [t.encode("utf-8", "replace") if isinstance(t, str) else b"" for t in pdf["text"]]
+        for batch in batches:
+            texts = [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").to_pylist()]
             out = []
-            for a in range(0, len(texts), 500):
-                out += counter.count(texts[a : a + 500])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [o[0] for o in out], "n_tokens": [o[1] for o in out]})
+            for a, b in chunks([len(t) for t in texts]):
+                out += counter.count(texts[a:b])
+            counts = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
