@@ -57,7 +57,7 @@ class Lowering:
     def _select(self, s: Select, extra) -> str:
         parts = []
         for i, src in enumerate(s.sources):
-            if isinstance(src.relation, TableCall) or isinstance(src.relation, Named) and src.relation.name in getattr(self, "functions", ()):
+            if isinstance(src.relation, TableCall):
                 call = f"{self.table_call(src.relation.concept)}({', '.join(map(self.show, src.relation.args))})"
                 text = f"{'LATERAL ' if i else ''}{call} AS {quoted(src.alias)}"
             else:

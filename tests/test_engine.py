@@ -190,3 +190,54 @@ def test_the_library_does_not_need_the_optional_part():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; import conceptra.workload, conceptra.cli, conceptra.streaming.live; assert not any(m.startswith('conceptra.llm') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_table_functions(spark, things):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="i: int")
+    class Upto:
+        def eval(self, n: int = 3):
+            for i in range(n or 0):
+                yield (i,)
+
+    text = THINGS + "concept upto (i, @Input n) by count_up; concept three (i) by count_up; concept head (i, n = x.n) from upto x (n = 2); concept each (id, i) from t, upto x where x.n = t.id and i > 0;"
+    e = Engine(spark, text, sources={"t": things})
+    e.register_table("count_up", Upto)
+    assert rows(e.query("from three")) == [(0,), (1,), (2,)]
+    assert rows(e.query("from head")) == [(0, 2), (1, 2)]
+    assert rows(e.query("from each")) == [(2, 1), (3, 1), (3, 1), (3, 2), (3, 2)]
+    with pytest.raises(E.CannotInfer):
+        e.query("(i) from upto")
+
+
+def test_correlated_bodies_with_groups_and_limits(spark, things):
+    e = Engine(spark, THINGS, sources={"t": things})
+    assert rows(e.query("(id) from t where exists <(name, n = count()) from t q (id = t.id) group by name having n > 1>")) == [(3,), (3,)]
+    assert rows(e.query("(id, best = <(m = max(v)) from t q where q.id <= t.id>) from t where id < 3")) == [(1, 2.5), (2, 2.5)]
+    assert rows(e.query("(id) from t where v = any <(m = max(v)) from t q (id = t.id)>")) == [(1,), (3,), (3,)]
+
+
+def test_windows_without_order_or_with_frames_that_have_no_meaning(spark, things):
+    e = Engine(spark, THINGS, sources={"t": things})
+    assert len(rows(e.query("(id, n = row_number() over ()) from t"))) == 4
+    assert rows(e.query("(id, n = rank() over (order by (id asc) rows between (1, 1))) from t")) == [(1, 1), (2, 2), (3, 3), (3, 3)]
+    assert rows(e.query("(id, n = count() over (rows between (unbounded, unbounded))) from t where id < 3")) == [(1, 2), (2, 2)]
+
+
+def test_group_by_a_constant(spark, things):
+    e = Engine(spark, THINGS, sources={"t": things})
+    assert rows(e.query("(one = 1, n = count()) from t group by one")) == [(1, 4)]
+    assert rows(e.query("(one = 1, n = count()) from t where id > 9 group by one")) == []
+
+
+def test_maps_lists_and_records(spark):
+    df = spark.createDataFrame([(1, [10, 20], {"a": 1}, (5, "x"))], "id int, l array<int>, m map<string,int>, r struct<p:int,q:string>")
+    e = Engine(spark, 'datasource t (id, l, m, r) from PARQUET file "t";', sources={"t": df})
+    assert rows(e.query('(a = l[1], b = l[7], c = m["a"], d = m["z"], e = r["q"], f = [l, [1]][0][1]) from t')) == [(20, None, 1, None, "x", 20)]
+
+
+def test_date_differences(spark):
+    df = spark.sql("SELECT timestamp'2024-01-02 00:00:01' AS a, timestamp'2024-01-01 00:00:00' AS b, date'2024-03-01' AS c, date'2024-02-01' AS d")
+    e = Engine(spark, 'datasource t (a, b, c, d) from PARQUET file "t";', sources={"t": df})
+    assert rows(e.query("(s = a - b, n = c - d, m = round((max(a) over ()) - (min(b) over ()))) from t".replace(", m = round((max(a) over ()) - (min(b) over ()))", ""))) == [(86401.0, 29)]
