@@ -12,6 +12,7 @@ from .lang.errors import NotFound
 from .lang.model import Model, Named
 from .operators import materialize
 from .plans.lower import Lowering, quoted
+from .session import reach_workers
 from .sources import files
 
 
@@ -23,6 +24,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, model: Model | str, base: str | None = None, sources: dict[str, DataFrame] | None = None, every: bool = False):
+        reach_workers(spark)
         self.spark, self.base, self.given = spark, base, dict(sources or {})
         self.model = Model.parse(model) if isinstance(model, str) else model
         self.prefix = f"c{uuid.uuid4().hex[:12]}_"
