@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents
 
 MIN_SENTENCES = 2
-MIN_CHARS = 80
+MIN_CHARS = 120
 LONE_CHARS = 200
 
 #: Fixed pattern: a sentence with its end marks and the white space after it, or what is left.

@@ -570,7 +570,7 @@ def test_sentence_spans_odd(spark):
     assert {i: t for i, (t, _) in got.items() if i != 4} == {i: t for i, t in ODD.items() if i != 4}
     assert got[4][1] > 2900
     assert sentence_spans.dedup(frame(spark, {})).count() == 0
-    long = "one two three four five six seven. eight nine ten eleven twelve thirteen fourteen. and so on and on and on."
+    long = "one two three four five six seven eight nine ten eleven. eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen. and so on."
     df = frame(spark, [long, long, long]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     assert sorted((r.doc_id or 0, r.n_removed) for r in sentence_spans.dedup(df).collect()) == [(0, 0), (1, 0), (2, 3)]
 
