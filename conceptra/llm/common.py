@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,29 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a frame that ``cut`` returned and that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("cut-"):
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of frames that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def slices(batch: pa.RecordBatch, limit: int):
+    """Parts of a batch (doc_id, text) as (doc_ids, texts as bytes) of about ``limit`` bytes, so that a batch is never held twice."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        yield batch.column("doc_id").slice(a, b - a), [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").slice(a, b - a).to_pylist()]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -30,8 +30,6 @@ No rows in: no rows out.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, documents, mix64, word_hashes
+from .common import chunks, components, cut, discard, documents, mix64, release, slices, word_hashes
 
 WORDS = 5
 #: A pair links when PERCENT_OF * intersection >= PERCENT * union.
@@ -108,12 +106,11 @@ def _blocks(buckets: int):
     def run(batches):
         number = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [t.encode("utf-8", "replace") if t else b"" for t in batch.column(1).to_pylist()]
-            for a, b in chunks([len(t) for t in texts], BATCH_BYTES):
-                parts = [shingles(texts[a + c : a + d]) for c, d in chunks([len(t) for t in texts[a:b]])]
+            for names, texts in slices(batch, BATCH_BYTES):
+                ids, n = names.to_numpy(zero_copy_only=False).astype(np.int64), len(texts)
+                parts = [shingles(texts[c:d]) for c, d in chunks([len(t) for t in texts])]
                 hashes, owner = distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                size = np.bincount(owner, minlength=b - a).astype(np.int64)
+                size = np.bincount(owner, minlength=n).astype(np.int64)
                 by_text = np.argsort(owner, kind="stable")
                 sums = []
                 for salt in (1, 2):
@@ -124,7 +121,7 @@ def _blocks(buckets: int):
                 token, count = hashes[edge], np.diff(edge, append=len(hashes))
                 hot = count >= FREQUENT
                 keep = ~np.repeat(hot, count)
-                sketch = np.concatenate([_sketch(hashes, owner, by_text, np.cumsum(size), c) for c in range(0, b - a, 1000)])
+                sketch = np.concatenate([_sketch(hashes, owner, by_text, np.cumsum(size), c) for c in range(0, n, 1000)])
                 key = (TaskContext.get().partitionId() << 32) | number
                 number += 1
                 bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -135,7 +132,7 @@ def _blocks(buckets: int):
                     s, e = cuts[k], cuts[k + 1]
                     if e > s:
                         rows.append((k, key, pack(token[s:e]), np.minimum(count[s:e], FREQUENT).astype(np.uint8).tobytes(), kept_owner[upto[s] : upto[e]].tobytes(), None))
-                meta = np.concatenate([ids[a:b], size, *sums, *sketch.T]).tobytes()
+                meta = np.concatenate([ids, size, *sums, *sketch.T]).tobytes()
                 own = int(mix64(np.array([key], np.uint64))[0] % np.uint64(buckets))
                 rows.append((own, key, pack(token[hot]), count[hot].astype(np.uint16).tobytes(), owner[~keep].tobytes(), meta))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
@@ -268,6 +265,7 @@ def linked(sets: DataFrame) -> DataFrame:
     one = many.groupBy("doc_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     lead = few.select(*_pairs("low", "doc_id")).union(few.select(*_pairs("doc_id", "high"))).union(one.select(*_pairs("low", "doc_id"))).union(one.select(*_pairs("doc_id", "high")))
     found = cut(verify(lead.filter("a < b").distinct(), sets))
+    release(sets.sparkSession)
     active, last = many.select("key", "doc_id"), None
     for turn in range(ROUNDS + 1):
         labels = cut(components(found))
@@ -291,16 +289,11 @@ def linked(sets: DataFrame) -> DataFrame:
         # one leader for each text: the main component's, of the key where its hash is least
         pairs = minor.groupBy("doc_id").agg(F.min("leader").alias("leader")).select(*_pairs("doc_id", "leader.doc_id")).distinct()
         found = cut(found.union(verify(pairs, sets)))
+        release(sets.sparkSession)
         active = open_.select("key", "doc_id")
     raise AssertionError("the last round returns")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every row."""
     spark = docs.sparkSession
@@ -310,6 +303,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     named = cut(every.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
     firsts = named.select("class_id").distinct().withColumnRenamed("class_id", "doc_id")
     sets = cut(every.filter("keys IS NOT NULL").select("doc_id", "n", "keys", "shared", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    discard(every)
     release(spark)
     found = linked(sets).withColumnRenamed("node", "class_id")
     rows = named.join(found, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, documents, mix64, rolling
-from .ngram_join import pack, release, unpack
+from .common import chunks, cut, documents, mix64, release, rolling, slices
+from .ngram_join import pack, unpack
 
 WINDOW, GRAM = 100, 24
 GRAMS = WINDOW - GRAM + 1
@@ -84,10 +84,8 @@ def _parts(text: bytes):
 def _blocks(buckets: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [t.encode("utf-8", "replace") if t else b"" for t in batch.column(1).to_pylist()]
-            for a, b in chunks([len(t) for t in texts], BATCH_BYTES):
-                pieces = [(i, at, part) for i in range(a, b) for at, part in _parts(texts[i])]
+            for names, texts in slices(batch, BATCH_BYTES):
+                pieces = [(i, at, part) for i, text in enumerate(texts) for at, part in _parts(text)]
                 anchor, rest = [], []
                 for c, d in chunks([len(p[2]) for p in pieces]):
                     some = pieces[c:d]
@@ -97,7 +95,7 @@ def _blocks(buckets: int):
                     rows = np.empty(len(first), _REST)
                     rows["context"], rows["span"], rows["off"] = context, last - first, place - first
                     rows["start"] = first - bounds[which] + np.array([p[1] for p in some], np.int64)[which]
-                    rows["owner"] = np.array([p[0] - a for p in some], np.int64)[which]
+                    rows["owner"] = np.array([p[0] for p in some], np.int64)[which]
                     anchor.append(gram)
                     rest.append(rows)
                 anchor, rest = np.concatenate(anchor), np.concatenate(rest)
@@ -105,7 +103,7 @@ def _blocks(buckets: int):
                 anchor, rest = anchor[order], rest[order]
                 bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                named = pack(ids[a:b].view(np.uint64))
+                named = pack(names.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 rows = [(k, pack(anchor[s:e]), rest[s:e].tobytes(), named) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
