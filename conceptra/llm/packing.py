@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, word_hashes
+from .common import CHUNK_BYTES, chunks, documents, slices, word_hashes
 
 LENGTH, END = 4096, 2
 #: Characters of text for a shard, and tokens for a segment.
@@ -187,10 +187,8 @@ def _packed(path: str, length: int, with_ids: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
 
         for batch in batches:
-            own = [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").to_pylist()]
-            names = batch.column("doc_id").to_pylist()
-            for a, b in chunks([len(t) for t in own]):
-                for doc, text, found in zip(names[a:b], own[a:b], encode(own[a:b])):
+            for names, own in slices(batch, CHUNK_BYTES):
+                for doc, text, found in zip(names.to_pylist(), own, encode(own)):
                     docs.append(doc)
                     texts.append(text)
                     ids.append(np.append(found, found.dtype.type(END)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import CHUNK_BYTES, documents, slices
 
 MARK = "▁"
 #: Score of a token that stands for a byte.
@@ -79,10 +79,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         counter = TrieCounter(load_pieces(path))
         for batch in batches:
-            texts = [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").to_pylist()]
             out = []
-            for a, b in chunks([len(t) for t in texts]):
-                out += counter.count(texts[a:b])
+            for _, texts in slices(batch, CHUNK_BYTES):
+                out += counter.count(texts)
             counts = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts], ["doc_id", "n_words", "n_tokens"])
 
