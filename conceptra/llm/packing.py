@@ -29,7 +29,7 @@ LENGTH, END = 4096, 2
 SHARD_CHARS, SEGMENT_TOKENS = 6 << 20, 1_500_000
 K1, B = 1.2, 0.75
 #: Words in a generation of those that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 class WordTokenizer:
