@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 _own_dir: str | None = None
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options) -> DataFrame:
     """The same rows with the lineage cut: written to the shared folder as Parquet and read again.
 
     Columnar files are a fraction of what ``checkpoint()`` writes for the same rows, and later steps
-    read only the columns they need.
+    read only the columns they need. ``options`` are those of the writer.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,11 +1,17 @@
-"""Packing of tokenised documents into windows, with lexical retrieval.
+"""Packing of tokenised documents into windows, with lexical retrieval over the whole corpus.
 
-The index is sharded by document: documents are dealt by their ids' hashes, so that no group of texts
-makes a shard large. Each shard is read in segments of bounded size; a segment has an inverted index
-with BM25 weights. A window starts with a seed document (or what is left of the one that was
-cut last), asks the index for the seed's unused neighbours and takes them in order of their scores
-until it is full; the last one is cut and its rest starts the next window. Without a neighbour, the
-next unused document is taken. Only the last window of a shard can stay short.
+The inverted index is sharded by document, in shards of bounded size; BM25 uses the corpus's document
+frequencies and mean length, so a score does not depend on the shard. Every seed queries every shard,
+and the shards' best are merged. A window starts with a seed document (or what is left of the one that
+was cut last), takes the seed's unused neighbours in order of their scores until it is full; the last
+one is cut and its rest starts the next window. Without a neighbour, the next unused document in an
+order of hashed ids is taken and becomes the seed.
+
+Windows are filled along several chains at once. A round queries the seeds of all chains together for
+their best ``TOP`` unused documents; the chains then take in turn, and a chain whose list was cut at
+``TOP`` and is used up asks again in the next round, so that no neighbour is ever left out. When no
+document is left, the windows that are still open are joined; only the last one can stay short. The
+work of the queries grows with the square of the corpus, as each seed meets all of it.
 
 Token ids are computed per distinct white-space-delimited word, which is how the tokenizer splits;
 each document ends with ``END``. Null text counts as empty: only the end token. Repeated rows are
@@ -14,6 +20,7 @@ packed each. Only doc_id and text are read. No rows in: no rows out.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -22,12 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, documents, slices, word_hashes
+from .common import CHUNK_BYTES, chunks, cut, documents, mix64, shared_dir, slices, word_hashes
 
 LENGTH, END = 4096, 2
-#: Characters of text for a shard, and tokens for a segment.
-SHARD_CHARS, SEGMENT_TOKENS = 6 << 20, 1_500_000
+#: Tokens of an index shard.
+SEGMENT_TOKENS = 1_500_000
 K1, B = 1.2, 0.75
+#: Neighbours that a query brings at once, queries scored together, and windows for a chain.
+TOP, QUERIES, CHAIN = 32, 128, 10
+#: Share of the documents from which on a term's weights are held in full rows.
+FREQUENT = 0.05
 #: Words in a generation of those that a worker remembers.
 REMEMBERED = 800_000
 
@@ -106,7 +117,7 @@ def encoder(path: str) -> WordTokenizer:
 
 
 class Bm25:
-    """An inverted index over texts; weights are positive where a term is in fewer than half of them."""
+    """An inverted index over texts held together, which the shards must agree with; weights are positive where a term is in fewer than half of them."""
 
     def __init__(self, texts: list[bytes]):
         parts = [word_hashes(texts[a:b]) for a, b in chunks([len(t) for t in texts])]
@@ -143,70 +154,281 @@ class Bm25:
         return some[np.argsort(-score[some], kind="stable")]
 
 
-def windows(sizes: list[int], index: Bm25, room: int, length: int = LENGTH):
-    """(text, start, size) pieces in order; the first window has ``room`` left, all others ``length``."""
-    used, following, found = np.zeros(len(sizes), bool), 0, None
-    while True:
-        text = next((t for t in found if not used[t]), None) if found else None
-        seed = text is None
-        if seed:
-            while following < len(sizes) and used[following]:
-                following += 1
-            if following == len(sizes):
-                return
-            text = following
-        used[text] = True
-        start, left = 0, sizes[text]
+_TOKENISED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("times", pa.binary())])
+
+
+def _tokenised(path: str):
+    """Rows with their key (partition << 32 | place in it), token ids, and distinct words with their counts."""
+
+    def run(batches):
+        encode, key = encoder(path), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for names, own in slices(batch, CHUNK_BYTES):
+                words, counts = word_hashes(own)
+                ends, rows = np.cumsum(counts), []
+                for doc, found, end, n in zip(names.to_pylist(), encode(own), ends, counts):
+                    terms, times = np.unique(words[end - n : end], return_counts=True)
+                    ids = np.append(found, found.dtype.type(END))
+                    rows.append((key, doc, len(ids), int(n), ids.tobytes(), terms.tobytes(), times.astype(np.uint32).tobytes()))
+                    key += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TOKENISED.types)], schema=_TOKENISED)
+
+    return run
+
+
+def _joined(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _frequencies(batches):
+    for batch in batches:
+        terms, df = np.unique(_joined(batch.column("terms"), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df.astype(np.int64))], ["term", "df"])
+
+
+def _exploded(batches):
+    for batch in batches:
+        sizes = [len(t) // 8 for t in batch.column("terms").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)), pa.array(_joined(batch.column("terms"), np.int64))], ["key", "term"])
+
+
+class Queries:
+    """Seeds with the weights of their terms: ``key``, and (seed number, term number, idf) by seed."""
+
+    def __init__(self, key: np.ndarray, term: np.ndarray, df: np.ndarray, n: int):
+        self.key, seed = np.unique(key, return_inverse=True)
+        self.term, first, number = np.unique(term, return_index=True, return_inverse=True)
+        df = df[first]
+        self.idf = np.log((n - df + 0.5) / (df + 0.5))
+        self.full = np.flatnonzero(df >= FREQUENT * n)
+        row = np.full(len(df), -1)
+        row[self.full] = np.arange(len(self.full))
+        order = np.argsort(seed, kind="stable")
+        seed, number = seed[order], number[order]
+        often = row[number] >= 0
+        self.dense = np.zeros((len(self.key), len(self.full)), np.float32)
+        self.dense[seed[often], row[number[often]]] = self.idf[number[often]]
+        self.row, self.seed, self.number = row, seed[~often], number[~often]
+        self.upto = np.searchsorted(self.seed, np.arange(len(self.key) + 1))
+
+    def best(self, terms: np.ndarray, times: np.ndarray, sizes: np.ndarray, words: np.ndarray, mean: float):
+        """(seed, document, score) of the ``TOP`` best of a shard for each seed."""
+        n = len(sizes)
+        owner = np.repeat(np.arange(n), sizes)
+        at = np.minimum(np.searchsorted(self.term, terms), len(self.term) - 1)
+        hit = np.flatnonzero(self.term[at] == terms)
+        at, owner, times = at[hit], owner[hit], times[hit].astype(np.float64)
+        weight = times * (K1 + 1) / (times + K1 * (1 - B + B * words / mean)[owner])
+        often = self.row[at] >= 0
+        full = np.zeros((len(self.full), n), np.float32)
+        full[self.row[at[often]], owner[often]] = weight[often]
+        at, owner, weight = at[~often], owner[~often], weight[~often] * self.idf[at[~often]]
+        order = np.argsort(at, kind="stable")
+        owner, weight = owner[order], weight[order]
+        size = np.bincount(at, minlength=len(self.term))
+        start = np.cumsum(size) - size
+        for a in range(0, len(self.key), QUERIES):
+            b = min(a + QUERIES, len(self.key))
+            score = (self.dense[a:b] @ full).astype(np.float64)
+            own = slice(self.upto[a], self.upto[b])
+            length = size[self.number[own]]
+            place = np.repeat(start[self.number[own]] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            score += np.bincount(np.repeat((self.seed[own] - a) * n, length) + owner[place], weight[place], (b - a) * n).reshape(b - a, n)
+            top = np.argpartition(-score, TOP, axis=1)[:, :TOP] if n > TOP else np.tile(np.arange(n), (b - a, 1))
+            value = np.take_along_axis(score, top, 1)
+            some = value > 0
+            yield np.nonzero(some)[0] + a, top[some], value[some]
+
+
+def best_of(seed: np.ndarray, key: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``TOP`` best of each seed, best first."""
+    order = np.lexsort((key, -score, seed))
+    seed, key, score = seed[order], key[order], score[order]
+    within = np.arange(len(seed)) - np.searchsorted(seed, seed) < TOP
+    return seed[within], key[within], score[within]
+
+
+_HITS = pa.schema([("seed", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+
+
+def _searched(shared, mean: float):
+    """All shards of a partition: the best unused documents for each seed."""
+
+    def run(batches):
+        queries, used, start = shared.value
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        held, tokens = [], 0
+
+        def search():
+            nonlocal found
+            shard = pa.Table.from_batches(held)
+            key, sizes = shard.column("key").to_numpy(), np.array([len(t) // 8 for t in shard.column("terms").to_pylist()])
+            terms, times = _joined(shard.column("terms"), np.int64), _joined(shard.column("times"), np.uint32)
+            parts = [(s, key[d], v) for s, d, v in queries.best(terms, times, sizes, shard.column("words").to_numpy(), mean)]
+            found = list(best_of(*(np.concatenate(c) for c in zip(found, *parts))))
+
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            place = start[key >> 32] + (key & 0xFFFFFFFF)
+            batch = batch.filter(pa.array(used[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 0))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            tokens += sum(batch.column("tokens").to_pylist())
+            if tokens >= SEGMENT_TOKENS:
+                search()
+                held, tokens = [], 0
+        if held:
+            search()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, _HITS.types)], schema=_HITS)
+
+    return run
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(best_of(*(table.column(c).to_numpy() for c in ("seed", "key", "score"))), _HITS.types)], schema=_HITS)
+
+
+class Filling:
+    """Chains of windows over documents 0, 1, ..; ``pieces`` gets (document, start, size, window, offset)."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, order: np.ndarray, length: int):
+        self.sizes, self.words, self.order, self.length = sizes, words, order, length
+        self.used, self.following, self.made = np.zeros(len(sizes), bool), 0, 0
+        self.pieces: list[tuple[int, int, int, int, int]] = []
+        n = max(1, int(sizes.sum()) // length // CHAIN)
+        self.open: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+        self.room, self.seed = [length] * n, [-1] * n
+        for chain in range(n):
+            self.next_seed(chain)
+
+    def close(self, window: list[tuple[int, int, int]]) -> None:
+        at = 0
+        for doc, start, size in window:
+            self.pieces.append((doc, start, size, self.made, at))
+            at += size
+        self.made += 1
+
+    def take(self, chain: int, doc: int) -> bool:
+        """Whether the document, or its rest, opens a window."""
+        self.used[doc], fresh = True, not self.open[chain]
+        start, left = 0, int(self.sizes[doc])
         while left:
-            take = min(left, room)
-            yield text, start, take
-            start, left, room = start + take, left - take, room - take
-            if not room:
-                room, seed = length, True
-        if seed:  # it opens a window, whole or with its rest: its neighbours follow
-            found = iter(index.neighbours(text, used).tolist())
+            size = min(left, self.room[chain])
+            self.open[chain].append((doc, start, size))
+            start, left, self.room[chain] = start + size, left - size, self.room[chain] - size
+            if not self.room[chain]:
+                self.close(self.open[chain])
+                self.open[chain], self.room[chain], fresh = [], self.length, True
+        return fresh
+
+    def next_seed(self, chain: int) -> None:
+        """Takes the next unused document, and more while they have no words to ask by; -1 when none is left."""
+        self.seed[chain] = -1
+        while self.seed[chain] < 0:
+            while self.following < len(self.order) and self.used[self.order[self.following]]:
+                self.following += 1
+            if self.following == len(self.order):
+                return
+            doc = int(self.order[self.following])
+            self.take(chain, doc)
+            if self.words[doc]:
+                self.seed[chain] = doc
+
+    def round(self, found: dict[int, list[int]]) -> None:
+        """Chains take their seeds' neighbours, best first; lists of fewer than ``TOP`` are whole."""
+        for chain, seed in enumerate(self.seed):
+            if seed < 0:
+                continue
+            own = found.get(seed, [])
+            for doc in own:
+                if not self.used[doc] and self.take(chain, doc):
+                    self.seed[chain] = doc
+                    break
+            else:
+                if len(own) < TOP:
+                    self.next_seed(chain)
+
+    def finish(self) -> None:
+        """Joins the windows that are still open."""
+        window, room = [], self.length
+        for doc, start, left in (piece for own in self.open for piece in own):
+            while left:
+                size = min(left, room)
+                window.append((doc, start, size))
+                start, left, room = start + size, left - size, room - size
+                if not room:
+                    self.close(window)
+                    window, room = [], self.length
+        if window:
+            self.close(window)
+        self.open = []
 
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
+_PLACED = pa.schema([(n, pa.int64()) for n in ("key", "start", "length", "sequence_id", "offset")])
 
 
-def _packed(path: str, length: int, with_ids: bool):
+def _packed(with_ids: bool):
     def run(batches):
-        encode, at = encoder(path), 0  # at: tokens in the shard so far
-        base = TaskContext.get().partitionId() << 32
-        docs, texts, ids, total = [], [], [], 0
-
-        def flush():
-            nonlocal at
-            rows = []
-            for i, start, size in windows([len(x) for x in ids], Bm25(texts), length - at % length, length):
-                part = ids[i][start : start + size].astype("<u4").tobytes()
-                rows.append((docs[i], start, size, zlib.crc32(part), len(ids[i]), base | at // length, at % length, part if with_ids else None))
-                at += size
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
-
         for batch in batches:
-            for names, own in slices(batch, CHUNK_BYTES):
-                for doc, text, found in zip(names.to_pylist(), own, encode(own)):
-                    docs.append(doc)
-                    texts.append(text)
-                    ids.append(np.append(found, found.dtype.type(END)))
-                    total += len(ids[-1])
-                    if total >= SEGMENT_TOKENS:
-                        yield flush()
-                        docs, texts, ids, total = [], [], [], 0
-        if docs:
-            yield flush()
+            for doc, tokens, data, pieces in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tokens", "ids", "pieces"))):
+                ids, rows = np.frombuffer(data, np.uint16 if len(data) == 2 * tokens else np.uint32), []
+                for p in pieces:
+                    part = ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()
+                    rows.append((doc, p["start"], p["length"], zlib.crc32(part), tokens, p["sequence_id"], p["offset"], part if with_ids else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
 
     return run
 
 
+def placed(docs: DataFrame, length: int) -> DataFrame:
+    """Pieces (key, start, length, sequence_id, offset) of tokenised documents that were written."""
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/cut-{uuid.uuid4().hex}"
+    every = docs.select("key", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tokens", "words").toArrow()
+    key, doc_id, tokens, words = (every.column(c).to_numpy() for c in ("key", "doc_id", "tokens", "words"))
+    by = np.argsort(key)
+    key, doc_id, tokens, words = key[by], doc_id[by], tokens[by], words[by]
+    start = np.searchsorted(key, np.arange((int(key[-1]) >> 32) + 1 if len(key) else 0) << 32)
+    fill, n, mean = Filling(tokens, words, np.lexsort((key, mix64(doc_id))), length), len(key), max(1.0, float(words.mean()) if len(key) else 0.0)
+    common = cut(docs.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).filter(f"df > 1 AND 2 * df < {n}"))
+    index = docs.select("key", "tokens", "words", "terms", "times")
+
+    def write():
+        columns = zip(*fill.pieces) if fill.pieces else [()] * 5
+        doc, first, size, window, at = (np.array(c, np.int64) for c in columns)
+        rows = pa.Table.from_arrays([pa.array(c) for c in (key[doc], first, size, window, at)], schema=_PLACED)
+        spark.createDataFrame(rows).write.mode("append").parquet(path)
+        fill.pieces = []
+
+    while not fill.used.all():
+        seeds = spark.createDataFrame(pa.table({"key": key[[s for s in fill.seed if s >= 0]]}))
+        asked = docs.select("key", "terms").join(F.broadcast(seeds), "key", "left_semi").mapInArrow(_exploded, "key long, term long").join(common, "term").select("key", "term", "df").toArrow()
+        found: dict[int, list[int]] = {}
+        if asked.num_rows:
+            queries = Queries(*(asked.column(c).to_numpy() for c in ("key", "term", "df")), n)
+            shared = spark.sparkContext.broadcast((queries, np.packbits(fill.used, bitorder="little"), start))
+            hits = index.mapInArrow(_searched(shared, mean), "seed long, key long, score double")
+            hits = hits.groupBy((F.col("seed") / QUERIES).cast("long")).applyInArrow(_merged, "seed long, key long, score double").toArrow()
+            seed, doc, _ = best_of(*(hits.column(c).to_numpy() for c in ("seed", "key", "score")))
+            for s, d in zip(np.searchsorted(key, queries.key[seed]).tolist(), np.searchsorted(key, doc).tolist()):
+                found.setdefault(s, []).append(d)
+            shared.destroy()
+        fill.round(found)
+        write()
+    fill.finish()
+    write()
+    return spark.read.schema("key long, start long, length long, sequence_id long, offset long").parquet(path)
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """One row per piece: where it comes from (doc_id, start, length, doc_tokens), where it goes (sequence_id, offset), its ids."""
-    docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return docs.repartition(max(1, chars // SHARD_CHARS), "doc_id").mapInArrow(_packed(path, length, with_ids), PIECE_SCHEMA)
+    docs = docs.select("doc_id", "text").mapInArrow(_tokenised(path), "key long, doc_id long, tokens long, words long, ids binary, terms binary, times binary")
+    # small row groups, as a writer holds a whole one beside the encoder's words
+    docs = cut(docs, **{"parquet.block.size": 16 << 20})
+    pieces = placed(docs, length).groupBy("key").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    return docs.select("key", "doc_id", "tokens", "ids").join(pieces, "key").mapInArrow(_packed(with_ids), PIECE_SCHEMA)
 
 
 def tokenizer_path() -> str:

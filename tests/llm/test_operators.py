@@ -421,6 +421,48 @@ def test_neighbours_are_the_best_by_bm25():
         assert index.neighbours(q, used).tolist() == want
 
 
+def test_neighbours_come_from_the_whole_corpus(spark, monkeypatch):
+    """Twelve rare topics, each dealt over 12 partitions and shards of a few texts."""
+    rng = random.Random(4)
+    common = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(144):
+        topic = [f"t{i % 12}x{k}" for k in range(10)]
+        texts[i] = " ".join(rng.choice(topic if rng.random() < 0.5 else common) for _ in range(40))
+    monkeypatch.setattr(packing, "SEGMENT_TOKENS", 1000)
+    rows = packing.pack(frame(spark, texts).repartition(12), packing.tokenizer_path(), 1000).collect()
+    topics = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        topics[r.sequence_id][r.doc_id % 12] += r.length
+    pure = sum(max(t.values()) for t in topics.values()) / sum(r.length for r in rows)
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values()) and pure > 0.6
+
+
+def test_shards_score_as_one_index(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 6) for _ in range(rng.randrange(30))).encode() for _ in range(90)]
+    monkeypatch.setattr(packing, "TOP", 90)
+    whole, n = packing.Bm25(texts), len(texts)
+    docs = [np.unique(word_hashes([t])[0].view(np.int64), return_counts=True) for t in texts]
+    counts = np.array([t[1].sum() for t in docs])
+    terms, df = np.unique(np.concatenate([t[0] for t in docs]), return_counts=True)
+    known = {t: d for t, d in zip(terms.tolist(), df.tolist()) if d > 1 and 2 * d < n}
+    asked = np.array([(i, t, known[t]) for i, d in enumerate(docs) for t in d[0].tolist() if t in known])
+    queries = packing.Queries(*asked.T, n)
+    found = []
+    for a in range(0, n, 20):
+        own = docs[a : a + 20]
+        found += [(s, d + a, v) for s, d, v in queries.best(np.concatenate([t[0] for t in own]), np.concatenate([t[1] for t in own]), np.array([len(t[0]) for t in own]), counts[a : a + 20], counts.mean())]
+    seed, doc, score = packing.best_of(*(np.concatenate(c) for c in zip(*found)))
+    for q in range(n):
+        used = np.zeros(n, bool)
+        used[q] = True
+        want = whole.neighbours(q, used).tolist()
+        mine = doc[queries.key[seed] == q]
+        assert set(mine.tolist()) - {q} == set(want)
+        assert sum(a == b for a, b in zip([d for d in mine.tolist() if d != q], want)) >= 0.9 * len(want)
+
+
 # 7: embeddings
 
 
