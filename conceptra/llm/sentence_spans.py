@@ -1,10 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut after runs of ``.``, ``!``, ``?`` or line breaks with the white space that follows. A
-span starts at every sentence and runs over the fewest consecutive sentences that are at least
-``MIN_SENTENCES`` and ``MIN_CHARS`` characters long (a single sentence of ``LONE_CHARS`` is a span of
-its own); where the rest of a text is too short for one, the last span is there a second time with the
-rest. Spans are hashed (128 bits) and counted over all documents with map-side combination; of
+run of consecutive sentences is a passage if it is at least ``MIN_SENTENCES`` and ``MIN_CHARS``
+characters long (or ``LONE_CHARS`` characters, be it a single sentence). Spans are the shortest passage
+that starts at each sentence and the shortest that ends at each: those inside a passage cover all of
+it, so what any longer repeat would remove, they remove. Spans are hashed (128 bits) and counted over all documents with map-side combination; of
 equal spans the first is that of the smallest (doc_id, position). Sentences that any other
 occurrence covers are removed, all others stay as they are.
 
@@ -16,6 +16,7 @@ is left as it is and repeats nothing. Extra columns are not read. No rows in: no
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,25 @@ def spans(pieces: list[str]) -> list[tuple[int, int, bytes]]:
     bare = [p.strip() for p in pieces]
     own = [xxhash.xxh3_128_digest(b) for b in bare]
     size = [len(b) for b in bare]
-    out, end, total, n = [], 0, 0, len(bare)
-    for start in range(n):
-        while end < n and not (end - start >= MIN_SENTENCES and total >= MIN_CHARS or total >= LONE_CHARS):
-            total += size[end]
+    upto, n = [0, *accumulate(size)], len(bare)
+
+    def enough(start: int, end: int) -> bool:
+        total = upto[end] - upto[start]
+        return end - start >= MIN_SENTENCES and total >= MIN_CHARS or total >= LONE_CHARS
+
+    found, end, start = {}, 0, 0
+    for first in range(n):
+        while end < n and not enough(first, end):
             end += 1
-        if not (end - start >= MIN_SENTENCES and total >= MIN_CHARS or total >= LONE_CHARS):
-            if out:  # the rest is too short: once more the last span, up to the end
-                first = out[-1][0]
-                out.append((first, n - first, xxhash.xxh3_128_digest(b"".join(own[first:]))))
+        if not enough(first, end):
             break
-        out.append((start, end - start, xxhash.xxh3_128_digest(b"".join(own[start:end]))))
-        total -= size[start]
-    return out
+        found[first, end] = None
+    for last in range(1, n + 1):
+        while enough(start + 1, last):
+            start += 1
+        if enough(start, last):
+            found[start, last] = None
+    return [(a, b - a, xxhash.xxh3_128_digest(b"".join(own[a:b]))) for a, b in found]
 
 
 SPAN_SCHEMA = "doc_id long, start int, n int, h1 long, h2 long"

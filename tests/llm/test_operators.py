@@ -607,6 +607,27 @@ def test_sentence_spans(spark):
     assert sum(passage[100:300] in t for t in want.values()) == 1 and all(want[i] == texts[i] for i in texts if i % 3)
 
 
+def test_sentence_spans_remove_every_repeated_run(spark):
+    """Against all runs of sentences, however long."""
+    rng = random.Random(8)
+    sentence = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(rng.choice([3, 8, 18]))) + ". "
+    passages = [[sentence() for _ in range(6)] for _ in range(5)] + [["a" * 99 + ". ", "b" * 49 + ". ", "c" * 49 + ". "]]
+    texts = {i: [sentence() for _ in range(rng.randrange(4))] + rng.choice(passages) + [sentence() for _ in range(rng.randrange(4))] + rng.choice(passages)[rng.randrange(3) :] for i in range(40)}
+    texts |= {50: [sentence(), *passages[5], sentence()], 51: [sentence(), *passages[5], sentence()]}
+    seen, want = {}, {}
+    for i, own in sorted(texts.items()):
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = tuple(s.strip() for s in own[a:b])
+                total = sum(map(len, run))
+                if (b - a >= 2 and total >= 120 or total >= 200) and seen.setdefault(run, (i, a)) != (i, a):
+                    gone |= set(range(a, b))
+        want[i] = "".join(s for k, s in enumerate(own) if k not in gone)
+    got = {r.doc_id: r.text for r in sentence_spans.dedup(frame(spark, {i: "".join(own) for i, own in texts.items()})).collect()}
+    assert got == want and "c" * 49 not in got[51]
+
+
 def test_sentence_spans_odd(spark):
     got = {r.doc_id: (r.text, r.n_removed) for r in sentence_spans.dedup(frame(spark, ODD)).collect()}
     assert {i: t for i, (t, _) in got.items() if i != 4} == {i: t for i, t in ODD.items() if i != 4}
