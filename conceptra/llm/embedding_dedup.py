@@ -5,6 +5,10 @@ level, a threshold per node); vectors close to a threshold go to both sides. Vec
 within leaves, label by label, in double precision; the trees' links are united. The trees are fitted
 on a sample of about ``SAMPLE_ROWS`` distinct vectors; all vectors are indexed.
 
+Splits would part most links inside a large cloud of near copies. The sample therefore also shows the
+clouds that are larger than a part of a leaf: all vectors within ``COVER`` of a cloud's centre share one
+more leaf, so that its links are counted whole. A cloud with too few vectors in the sample is not seen.
+
 Equal vectors of a label are one class. Large leaves are compared in pairs of blocks. Links are
 counted where they are found, never listed: a pair that shares several leaves counts in the first of
 them, and components come from each block's spanning stars.
@@ -26,13 +30,33 @@ from .common import components, cut
 THRESHOLD = 0.93
 TREES, SPILL, LEAF, BLOCK = 8, 0.06, 512, 1024
 SAMPLE_ROWS, LEAST_SAMPLES = 32_768, 8
+#: Cosine to a cloud's centre that brings a vector into its leaf; at mean cosine c of a cloud's pairs it is about sqrt(c).
+COVER = 0.88
+
+
+def clouds(sample: np.ndarray, least: int) -> np.ndarray:
+    """Centres of the groups whose vectors link with ``least`` others of the sample, the densest first."""
+    rows = sample.astype(np.float32)
+    count = np.concatenate([(rows[a : a + BLOCK] @ rows.T >= THRESHOLD).sum(axis=1) for a in range(0, len(rows), BLOCK)]) - 1
+    dense, centres = np.flatnonzero(count >= least), []
+    dense = dense[np.argsort(-count[dense], kind="stable")]
+    while len(dense):
+        centre = sample[rows @ rows[dense[0]] >= THRESHOLD].mean(axis=0)
+        centre /= np.sqrt((centre * centre).sum())
+        centres.append(centre)
+        covered = sample[dense] @ centre >= THRESHOLD
+        covered[0] = True
+        dense = dense[~covered]
+    return np.array(centres).reshape(-1, sample.shape[1])
 
 
 class Forest:
     """Trees for vectors of one length, fitted on sample rows (already of length 1)."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 7):
+    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 7, share: float = 1.0):
         draw = np.random.default_rng(seed)
+        # without splits every leaf is whole
+        self.clouds = clouds(sample, max(LEAST_SAMPLES, int(LEAF * share / 4))) if depth else np.zeros((0, sample.shape[1]))
         self.trees = []
         for _ in range(trees):
             levels, node = [], np.zeros(len(sample), np.int64)
@@ -50,8 +74,12 @@ class Forest:
             self.trees.append(levels)
 
     def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, tree << 40 | leaf) of every leaf that a row falls into, by tree."""
+        """(row, tree << 40 | leaf) of every leaf that a row falls into, by tree; clouds count down from -1."""
         out_row, out_key = [], []
+        for a in range(0, len(rows) if len(self.clouds) else 0, BLOCK):
+            row, cloud = np.nonzero(rows[a : a + BLOCK] @ self.clouds.T >= COVER)
+            out_row.append(row + a)
+            out_key.append(-1 - cloud)
         for t, levels in enumerate(self.trees):
             row, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
             for direction, (low, _, high) in levels:
@@ -154,7 +182,7 @@ def fit(classes: DataFrame, total: int, largest: int) -> dict[int, Forest]:
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r), []).append(r)
-    return {size: Forest(unit(own), depth) for size, own in by_size.items()}
+    return {size: Forest(unit(own), depth, share=share / (1 << 20)) for size, own in by_size.items()}
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
