@@ -135,6 +135,8 @@ add("intersect_", SETS + "concept u intersect of f, o;", "from u", f"{F_} INTERS
 add("minus_", SETS + "concept u minus f, o, x;", "from u", f"({F_} EXCEPT {O_}) EXCEPT {X_}")
 add("union_with_null_columns", "concept a (k = c_custkey, v = c_acctbal, w = Null) from customer where c_custkey < 50; concept b (w = s_name, k = s_suppkey, v = Null) from supplier where s_suppkey < 50; concept u union of a, b;", "from u",
     "SELECT c_custkey AS k, c_acctbal AS v, NULL::VARCHAR AS w FROM customer WHERE c_custkey < 50 UNION SELECT s_suppkey, NULL, s_name FROM supplier WHERE s_suppkey < 50")
+add("union_with_null_columns_all", "concept a (k = c_custkey, v = c_acctbal, w = Null) from customer; concept b (w = s_name, k = s_suppkey, v = Null) from supplier; concept u union of a, b;", "from u",
+    "SELECT c_custkey AS k, c_acctbal AS v, NULL::VARCHAR AS w FROM customer UNION SELECT s_suppkey, NULL, s_name FROM supplier")
 
 # subqueries
 
@@ -152,6 +154,8 @@ add("gt_all_empty", "", '(r_name) from region where r_regionkey > all <(n_nation
 add("eq_any", "", "(n_name) from nation where n_nationkey = any <(c_nationkey) from customer where c_acctbal > 9900>", "SELECT n_name FROM nation WHERE n_nationkey = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
 add("lt_any_grouped", "", "(p_partkey) from part where p_retailprice < any <(m = avg(p_retailprice)) from part group by p_brand> and p_partkey < 500",
     "SELECT p_partkey FROM part WHERE p_retailprice < ANY (SELECT avg(p_retailprice) FROM part GROUP BY p_brand) AND p_partkey < 500")
+add("lt_any_grouped_all", "", "(p_partkey) from part where p_retailprice < any <(m = avg(p_retailprice)) from part group by p_brand>",
+    "SELECT p_partkey FROM part WHERE p_retailprice < ANY (SELECT avg(p_retailprice) FROM part GROUP BY p_brand)")
 add("quantified_value", "", "(n_nationkey, above = n_nationkey > all <(r_regionkey) from region>) from nation", "SELECT n_nationkey, n_nationkey > ALL (SELECT r_regionkey FROM region) AS above FROM nation")
 add("unique_pred", "", "(c_custkey) from customer c where unique <(o_orderpriority) from orders o (o_custkey = c.c_custkey)>",
     "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority HAVING count(*) > 1)")

@@ -16,6 +16,15 @@ def test_query(spark, sf, con, key):
     same(workload.queries()[key](spark, sf), con, workload.oracle_sql()[key])
 
 
+def test_all_rows_reach_the_operators(spark):
+    """On a size whose ids go beyond those that the limited queries keep."""
+    sf = "/root/testdata/sf0.01"
+    for key in ("union_with_null_columns", "lt_any_grouped"):
+        found = workload.queries()[f"{key}_all"](spark, sf)
+        same(found, database(sf), workload.oracle_sql()[f"{key}_all"])
+        assert found.count() > workload.queries()[key](spark, sf).count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
