@@ -36,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixed), ("packing", packed)]
 
-#: Language identification and the similarity join cannot be put in SQL; the tests hold a brute-force version against the rows.
+#: Language identification and the similarity join cannot be put in SQL. A brute-force test of all stages is missing; the stages' operators have their own.
 ORACLE_SQL = None
 
 
