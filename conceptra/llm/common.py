@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,6 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    # Arrays of a few megabytes come and go all the time: keep their memory (up to 64 MB) instead of
+    # giving it back and having each page made anew. M_MMAP_THRESHOLD is -3, M_TRIM_THRESHOLD -1.
+    ctypes.CDLL("libc.so.6").mallopt(-3, 32 << 20)
+    ctypes.CDLL("libc.so.6").mallopt(-1, 64 << 20)
+except (OSError, AttributeError):  # another C library: only slower
+    pass
+
 #: Text whose bytes are turned into arrays at once; larger texts are taken alone.
 CHUNK_BYTES = 1 << 21
 
@@ -110,10 +119,10 @@ def rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +132,8 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     """
     joined = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
     if lower:
-        joined = _LOWER[joined]
-    space = _SPACE[joined]
+        joined = LOWER[joined]
+    space = SPACE[joined]
     edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums, down = rolling(joined)

@@ -1,434 +1,366 @@
-"""Packing of tokenised documents into windows, with lexical retrieval over the whole corpus.
-
-The inverted index is sharded by document, in shards of bounded size; BM25 uses the corpus's document
-frequencies and mean length, so a score does not depend on the shard. Every seed queries every shard,
-and the shards' best are merged. A window starts with a seed document (or what is left of the one that
-was cut last), takes the seed's unused neighbours in order of their scores until it is full; the last
-one is cut and its rest starts the next window. Without a neighbour, the next unused document in an
-order of hashed ids is taken and becomes the seed.
-
-Windows are filled along several chains at once. A round queries the seeds of all chains together for
-their best ``TOP`` unused documents; the chains then take in turn, and a chain whose list was cut at
-``TOP`` and is used up asks again in the next round, so that no neighbour is ever left out. When no
-document is left, the windows that are still open are joined; only the last one can stay short. The
-work of the queries grows with the square of the corpus, as each seed meets all of it.
-
-Token ids are computed per distinct white-space-delimited word, which is how the tokenizer splits;
-each document ends with ``END``. Null text counts as empty: only the end token. Repeated rows are
-packed each. Only doc_id and text are read. No rows in: no rows out.
+"""Packing of tokenised documents into windows, filled by lexical retrieval from a sharded BM25 index.
+
+Documents are put in an order in which similar ones are neighbours. A tree of splits by two means each,
+fitted on a sample of bounded size, gives a cell for each document's word counts. Of a document's
+``SKETCH`` least hashes of runs of ``RUN`` tokens, the rarest one that another document shares is its
+home; a home lies in one cell, that of its first document, and one of more than ``GROUP`` documents is
+dealt over several by a hash of the row, so that no copy, however frequent, makes a large shard. Each task takes a range of this order with its share of all tokens and indexes
+``SHARD_TOKENS`` of them at a time. So the work grows in proportion to the corpus and a shard has a
+bounded size; only the sample and the sizes of the cells reach the driver.
+
+A window starts with a seed document (or what is left of the one that was cut last) and takes the
+seed's unused neighbours of the shard in order of their BM25 scores until it is full; the last one is
+cut, and its rest starts the next window. When no neighbour is left, the next unused document in the
+order of homes is taken and becomes the seed. Terms are words; those in more than ``COMMON`` of a
+shard's documents are left out of the scores, which they would hardly change. A window that is open
+when a shard ends goes on with the next shard of the task; only the last one of a task can stay short.
+
+Each document ends with ``END``. Null text counts as empty: only the end token. Repeated rows are packed
+each. Texts above ``CHUNK_BYTES`` are tokenised in parts cut at white space, so their length is bounded
+by what one row can hold. Documents that are equal in everything keep a fixed order by their place in
+the tokenised files, so a task that is run again places them alike. Only doc_id and text are read,
+whatever else the columns are called. No rows in: no rows out.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import CHUNK_BYTES, chunks, cut, documents, mix64, shared_dir, slices, word_hashes
+from .common import CHUNK_BYTES, SPACE, chunks, cut, documents, mix64, rolling
+from .words import ending, ragged, word_tokenizer
 
 LENGTH, END = 4096, 2
-#: Tokens of an index shard.
-SEGMENT_TOKENS = 1_500_000
+#: Tokens of an index shard, shards from which on a task gets several, and tasks below which it gets one.
+SHARD_TOKENS, TASKS, SHARDS_OF_TASK = 1_500_000, 2000, 64
 K1, B = 1.2, 0.75
-#: Neighbours that a query brings at once, queries scored together, and windows for a chain.
-TOP, QUERIES, CHAIN = 32, 128, 10
-#: Share of the documents from which on a term's weights are held in full rows.
-FREQUENT = 0.05
-#: Words in a generation of those that a worker remembers.
-REMEMBERED = 800_000
+#: Share of a shard's documents above which a term is left out.
+COMMON = 0.2
+#: Tokens of a run, runs in a sketch, and documents of a home that stay together.
+RUN, SKETCH, GROUP = 8, 16, 64
+#: Places of the vectors that choose a cell, levels of the tree of cells, and documents that it is fitted on.
+WIDTH, LEVELS, SAMPLE = 1024, 8, 4096
+#: Neighbours sorted at once.
+TOP = 64
+
+
+def _parts(column: pa.Array, limit: int):
+    """Parts (column, first row, whether it goes on with the row before) of about ``limit`` bytes; long texts are cut at white space."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        if sizes[a] <= limit:
+            yield column.slice(a, b - a), a, False
+            continue
+        raw, at = np.frombuffer(column[a].as_buffer(), np.uint8), 0
+        while at < len(raw):
+            end = min(at + limit, len(raw))
+            while end < len(raw) and not SPACE[raw[end : end + limit]].any():
+                end = min(end + limit, len(raw))
+            if end < len(raw):
+                end += int(SPACE[raw[end : end + limit]].argmax())
+            yield pa.array([raw[at:end].tobytes()], pa.binary()), a, at > 0
+            at = end
+
+
+def encoded(path: str, column: pa.Array, limit: int = CHUNK_BYTES):
+    """Slices of a text column as (first row, ids of their texts one after the other, number of ids of each text)."""
+    encode, held = word_tokenizer(path), None
+    for part, row, more in _parts(column, limit):
+        ids, counts = encode(part)
+        if more:
+            held = (held[0], [*held[1], ids], held[2] + counts)
+            continue
+        if held:
+            yield held[0], np.concatenate(held[1]), held[2]
+        held = row, [ids], counts
+    if held:
+        yield held[0], np.concatenate(held[1]), held[2]
+
+
+def sketches(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least hashes of the runs of each text, at most ``SKETCH`` distinct ones, and their number for each text."""
+    if len(ids) < RUN:
+        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+    packed = np.zeros(len(ids) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        packed = packed * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - RUN + 1 + k] + np.uint64(1)
+    hashes, ends = mix64(packed), np.cumsum(sizes)
+    # a share of the hashes that holds enough of the least ones of each text
+    runs = np.maximum(1, sizes - RUN + 1)
+    share = np.minimum(3.0 * SKETCH / runs, 1.0) * float(2**64)
+    limit = np.minimum(share, float(2**64 - 2**11)).astype(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
+    some = np.flatnonzero((hashes <= limit[owner]) & (np.arange(len(hashes)) + RUN <= ends[owner]))
+    hashes, owner = hashes[some], owner[some]
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[fresh], owner[fresh]
+    least = np.arange(len(owner)) - np.searchsorted(owner, owner) < SKETCH
+    return hashes[least].view(np.int64), np.bincount(owner[least], minlength=len(sizes))
+
+
+def _list(values: pa.Array | pa.Buffer, sizes: np.ndarray, width: int = 1) -> pa.Array:
+    """Lists of long values or, given a buffer, binary values of the given sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int32)
+    if isinstance(values, pa.Buffer):
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), values])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+TOKENISED = "key long, doc_id long, tokens long, ids binary, sketch array<long>"
 
 
-class WordTokenizer:
-    """Ids of texts by a tokenizers file that drops white space, each distinct word encoded once.
+def _tokenised(path: str):
+    """Rows with their key (partition << 32 | place in it), token ids and sketch."""
 
-    Words that were used lately are remembered in two generations, so that frequent ones stay.
-    """
+    def run(batches):
+        key = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for first, ids, sizes in encoded(path, batch.column("text")):
+                n, (hashes, found) = len(sizes), sketches(ids, sizes)
+                ended = np.insert(ids, np.cumsum(sizes), ids.dtype.type(END))
+                columns = [
+                    pa.array(np.arange(key, key + n)), batch.column("doc_id").slice(first, n).cast(pa.int64()), pa.array(sizes + 1),
+                    _list(pa.py_buffer(ended), sizes + 1, ended.itemsize), _list(pa.array(hashes), found),
+                ]
+                key += n
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "tokens", "ids", "sketch"])
+
+    return run
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.kind = np.uint32 if len(vocabulary) > 1 << 16 else np.uint16
-        # tokens that end a word
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        # words of letters end with the one token that says so: many are encoded as one text
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
-        for a in range(0, len(letters), 2000):
-            own = letters[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in own])], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(own) or ends[-1] != len(ids):
-                odd += own
-                continue
-            data, width, at = ids.tobytes(), self.kind().itemsize, 0
-            for i, end in zip(own, (ends * width).tolist()):
-                self.known[words[i]] = data[at:end]
-                at = end
-        for a in range(0, len(odd), 2000):
-            own = odd[a : a + 2000]
-            for i, e in zip(own, self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)):
-                self.known[words[i]] = np.array(e.ids, self.kind).tobytes()
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        # A-Z are lower-cased by the tokenizer anyway; special tokens are matched before that
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        missing = set().union(*split).difference(known)
-        for w in missing.intersection(before):
-            known[w] = before[w]
-            missing.discard(w)
-        # the pattern splits between a letter and what is none, so marks after a-z can be taken apart
-        apart, alone = [], set()
-        for w in missing:
-            core = w.rstrip(b".,")
-            if len(core) < len(w) and core and 97 <= core[-1] <= 122:
-                apart.append((w, core))
-                alone.add(core)
-                alone.add(w[len(core) :])
-            else:
-                alone.add(w)
-        self._encode([w for w in alone if w not in known])
-        for w, core in apart:
-            known[w] = known[core] + known[w[len(core) :]]
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), self.kind) for words in split]
-
-
-_encoders: dict[str, WordTokenizer] = {}
-
-
-def encoder(path: str) -> WordTokenizer:
-    """One encoder for a worker process; what it remembers serves all tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordTokenizer(path)
-    return _encoders[path]
+
+def words_of(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, a word being the ids up to one that ends it, and their number for each text."""
+    last = ends[ids]
+    borders = np.cumsum(sizes)[sizes > 0] - 1
+    last[borders] = True
+    at = np.flatnonzero(last)
+    sums, down = rolling(ids)
+    first = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
+    return mix64((sums[at + 1] - sums[first]) * down[first]), np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)])))
 
 
 class Bm25:
-    """An inverted index over texts held together, which the shards must agree with; weights are positive where a term is in fewer than half of them."""
-
-    def __init__(self, texts: list[bytes]):
-        parts = [word_hashes(texts[a:b]) for a, b in chunks([len(t) for t in texts])]
-        words, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        n, owner = len(texts), np.repeat(np.arange(len(texts)), counts)
-        order = np.argsort(words, kind="stable")
-        words, owner = words[order], owner[order]
-        fresh = np.ones(len(words), bool)
-        fresh[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(fresh)
-        times, word, self.owner = np.diff(at, append=len(words)), words[at], owner[at]
-        edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), bool), word[1:] != word[:-1]]))
-        size = np.diff(edge, append=len(word))
-        idf = np.log((n - size + 0.5) / (size + 0.5))
-        useful = (size > 1) & (idf > 0)
-        norm = K1 * (1 - B + B * counts / max(1.0, counts.mean()))
-        self.weight = np.repeat(idf, size) * times * (K1 + 1) / (times + norm[self.owner])
-        self.start, self.size = edge[useful], size[useful]
-        # terms of each text
-        term = np.repeat(np.where(useful, np.cumsum(useful) - 1, -1), size)
-        own = np.flatnonzero(term >= 0)
+    """An inverted index over the terms of a shard's documents, given as hashes and their number for each document."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
+        n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        fresh = new.copy()
+        fresh[1:] |= owner[1:] != owner[:-1]
+        fresh = np.flatnonzero(fresh)
+        times = np.diff(fresh, append=len(hashes)).astype(np.float32)
+        self.owner, term = owner[fresh], (np.cumsum(new) - 1)[fresh]
+        self.size = np.bincount(term, minlength=1)
+        self.start = np.cumsum(self.size) - self.size
+        idf = np.log1p((n - self.size + 0.5) / (self.size + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 0.0))).astype(np.float32)
+        self.weight = idf[term] * times * np.float32(K1 + 1) / (times + norm[self.owner])
+        # terms of each document
+        useful = (self.size > 1) & (self.size <= COMMON * n)
+        own = np.flatnonzero(useful[term])
         own = own[np.argsort(self.owner[own], kind="stable")]
         self.terms, self.n = term[own], n
         self.upto = np.concatenate([[0], np.cumsum(np.bincount(self.owner[own], minlength=n))])
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused texts that share terms with the seed, best first."""
+    def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[self.upto[seed] : self.upto[seed + 1]]
-        size = self.size[terms]
-        at = np.repeat(self.start[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        score = np.bincount(self.owner[at], self.weight[at], self.n)
+        at = ragged(np.arange(len(self.owner)), self.start[terms], self.size[terms])
+        return np.bincount(self.owner[at], self.weight[at], self.n)
+
+    def neighbours(self, seed: int, used: np.ndarray):
+        """Unused documents that share terms with the seed, best first, ties by their order."""
+        score = self.scores(seed)
         score[used] = 0
         some = np.flatnonzero(score > 0)
-        return some[np.argsort(-score[some], kind="stable")]
-
-
-_TOKENISED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("times", pa.binary())])
-
-
-def _tokenised(path: str):
-    """Rows with their key (partition << 32 | place in it), token ids, and distinct words with their counts."""
-
-    def run(batches):
-        encode, key = encoder(path), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for names, own in slices(batch, CHUNK_BYTES):
-                words, counts = word_hashes(own)
-                ends, rows = np.cumsum(counts), []
-                for doc, found, end, n in zip(names.to_pylist(), encode(own), ends, counts):
-                    terms, times = np.unique(words[end - n : end], return_counts=True)
-                    ids = np.append(found, found.dtype.type(END))
-                    rows.append((key, doc, len(ids), int(n), ids.tobytes(), terms.tobytes(), times.astype(np.uint32).tobytes()))
-                    key += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TOKENISED.types)], schema=_TOKENISED)
-
-    return run
-
+        if len(some) > 4 * TOP:
+            least = np.partition(score[some], len(some) - TOP)[len(some) - TOP]
+            best = some[score[some] >= least]
+            yield from best[np.argsort(-score[best], kind="stable")].tolist()
+            some = some[score[some] < least]
+        yield from some[np.argsort(-score[some], kind="stable")].tolist()
+
+
+class Windows:
+    """Windows filled one after the other; ``number`` is the open one."""
+
+    def __init__(self, first: int, length: int):
+        self.number, self.offset, self.length = first, 0, length
+
+    def place(self, size: int) -> tuple[list[tuple[int, int, int, int]], bool]:
+        """Pieces (start, length, window, offset) of a document, and whether its rest opened a window."""
+        pieces, start, closed = [], 0, False
+        while start < size:
+            part = min(size - start, self.length - self.offset)
+            pieces.append((start, part, self.number, self.offset))
+            start, self.offset = start + part, self.offset + part
+            if self.offset == self.length:
+                self.number, self.offset, closed = self.number + 1, 0, True
+        return pieces, closed
+
+    def fill(self, index: Bm25, sizes: np.ndarray):
+        """(document, its pieces) for all documents of a shard."""
+        used = np.zeros(len(sizes), bool)
+        for first in range(len(sizes)):
+            if used[first]:
+                continue
+            used[first] = True
+            yield first, self.place(int(sizes[first]))[0]
+            seed = first if self.offset else None
+            while seed is not None:
+                for doc in index.neighbours(seed, used):
+                    used[doc] = True
+                    pieces, closed = self.place(int(sizes[doc]))
+                    yield doc, pieces
+                    if closed:
+                        # the document whose rest opened the window is the next seed
+                        seed = doc if self.offset else None
+                        break
+                else:
+                    seed = None
 
-def _joined(column: pa.Array, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
+PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+_PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
-def _frequencies(batches):
-    for batch in batches:
-        terms, df = np.unique(_joined(batch.column("terms"), np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df.astype(np.int64))], ["term", "df"])
 
+def _packed(length: int, with_ids: bool, ends: np.ndarray):
+    """Pieces of a partition's documents, a shard at a time."""
 
-def _exploded(batches):
-    for batch in batches:
-        sizes = [len(t) // 8 for t in batch.column("terms").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("key").to_numpy(zero_copy_only=False), sizes)), pa.array(_joined(batch.column("terms"), np.int64))], ["key", "term"])
-
-
-class Queries:
-    """Seeds with the weights of their terms: ``key``, and (seed number, term number, idf) by seed."""
-
-    def __init__(self, key: np.ndarray, term: np.ndarray, df: np.ndarray, n: int):
-        self.key, seed = np.unique(key, return_inverse=True)
-        self.term, first, number = np.unique(term, return_index=True, return_inverse=True)
-        df = df[first]
-        self.idf = np.log((n - df + 0.5) / (df + 0.5))
-        self.full = np.flatnonzero(df >= FREQUENT * n)
-        row = np.full(len(df), -1)
-        row[self.full] = np.arange(len(self.full))
-        order = np.argsort(seed, kind="stable")
-        seed, number = seed[order], number[order]
-        often = row[number] >= 0
-        self.dense = np.zeros((len(self.key), len(self.full)), np.float32)
-        self.dense[seed[often], row[number[often]]] = self.idf[number[often]]
-        self.row, self.seed, self.number = row, seed[~often], number[~often]
-        self.upto = np.searchsorted(self.seed, np.arange(len(self.key) + 1))
-
-    def best(self, terms: np.ndarray, times: np.ndarray, sizes: np.ndarray, words: np.ndarray, mean: float):
-        """(seed, document, score) of the ``TOP`` best of a shard for each seed."""
-        n = len(sizes)
-        owner = np.repeat(np.arange(n), sizes)
-        at = np.minimum(np.searchsorted(self.term, terms), len(self.term) - 1)
-        hit = np.flatnonzero(self.term[at] == terms)
-        at, owner, times = at[hit], owner[hit], times[hit].astype(np.float64)
-        weight = times * (K1 + 1) / (times + K1 * (1 - B + B * words / mean)[owner])
-        often = self.row[at] >= 0
-        full = np.zeros((len(self.full), n), np.float32)
-        full[self.row[at[often]], owner[often]] = weight[often]
-        at, owner, weight = at[~often], owner[~often], weight[~often] * self.idf[at[~often]]
-        order = np.argsort(at, kind="stable")
-        owner, weight = owner[order], weight[order]
-        size = np.bincount(at, minlength=len(self.term))
-        start = np.cumsum(size) - size
-        for a in range(0, len(self.key), QUERIES):
-            b = min(a + QUERIES, len(self.key))
-            score = (self.dense[a:b] @ full).astype(np.float64)
-            own = slice(self.upto[a], self.upto[b])
-            length = size[self.number[own]]
-            place = np.repeat(start[self.number[own]] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            score += np.bincount(np.repeat((self.seed[own] - a) * n, length) + owner[place], weight[place], (b - a) * n).reshape(b - a, n)
-            top = np.argpartition(-score, TOP, axis=1)[:, :TOP] if n > TOP else np.tile(np.arange(n), (b - a, 1))
-            value = np.take_along_axis(score, top, 1)
-            some = value > 0
-            yield np.nonzero(some)[0] + a, top[some], value[some]
-
-
-def best_of(seed: np.ndarray, key: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``TOP`` best of each seed, best first."""
-    order = np.lexsort((key, -score, seed))
-    seed, key, score = seed[order], key[order], score[order]
-    within = np.arange(len(seed)) - np.searchsorted(seed, seed) < TOP
-    return seed[within], key[within], score[within]
-
-
-_HITS = pa.schema([("seed", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
-
-
-def _searched(shared, mean: float):
-    """All shards of a partition: the best unused documents for each seed."""
+    def pieces(rows: pa.Table, windows: Windows):
+        names, sizes = rows.column("doc_id").to_pylist(), rows.column("tokens").to_numpy()
+        data = [np.frombuffer(c, np.uint16 if len(c) == 2 * n else np.uint32) for c, n in zip(rows.column("ids").to_pylist(), sizes.tolist())]
+        out = []
+        for doc, found in windows.fill(Bm25(*words_of(np.concatenate([d[:-1] for d in data]), sizes - 1, ends)), sizes):
+            ids, tokens = data[doc].astype("<u4"), int(sizes[doc])
+            for start, size, number, offset in found:
+                part = ids[start : start + size].tobytes()
+                out.append((names[doc], start, size, zlib.crc32(part), tokens, number, offset, part if with_ids else None))
+        for a in range(0, len(out), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 1000]), _PIECE.types)], schema=_PIECE)
 
     def run(batches):
-        queries, used, start = shared.value
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        held, tokens = [], 0
-
-        def search():
-            nonlocal found
-            shard = pa.Table.from_batches(held)
-            key, sizes = shard.column("key").to_numpy(), np.array([len(t) // 8 for t in shard.column("terms").to_pylist()])
-            terms, times = _joined(shard.column("terms"), np.int64), _joined(shard.column("times"), np.uint32)
-            parts = [(s, key[d], v) for s, d, v in queries.best(terms, times, sizes, shard.column("words").to_numpy(), mean)]
-            found = list(best_of(*(np.concatenate(c) for c in zip(found, *parts))))
-
+        windows, held, tokens = Windows(TaskContext.get().partitionId() << 32, length), [], 0
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            place = start[key >> 32] + (key & 0xFFFFFFFF)
-            batch = batch.filter(pa.array(used[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 0))
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            tokens += sum(batch.column("tokens").to_pylist())
-            if tokens >= SEGMENT_TOKENS:
-                search()
-                held, tokens = [], 0
+            sizes = batch.column("tokens").to_pylist()
+            for a, b in chunks(sizes, SHARD_TOKENS // 8):
+                held.append(batch.slice(a, b - a))
+                tokens += sum(sizes[a:b])
+                if tokens >= SHARD_TOKENS:
+                    yield from pieces(pa.Table.from_batches(held), windows)
+                    held, tokens = [], 0
         if held:
-            search()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, _HITS.types)], schema=_HITS)
+            yield from pieces(pa.Table.from_batches(held), windows)
 
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(best_of(*(table.column(c).to_numpy() for c in ("seed", "key", "score"))), _HITS.types)], schema=_HITS)
-
-
-class Filling:
-    """Chains of windows over documents 0, 1, ..; ``pieces`` gets (document, start, size, window, offset)."""
-
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, order: np.ndarray, length: int):
-        self.sizes, self.words, self.order, self.length = sizes, words, order, length
-        self.used, self.following, self.made = np.zeros(len(sizes), bool), 0, 0
-        self.pieces: list[tuple[int, int, int, int, int]] = []
-        n = max(1, int(sizes.sum()) // length // CHAIN)
-        self.open: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-        self.room, self.seed = [length] * n, [-1] * n
-        for chain in range(n):
-            self.next_seed(chain)
-
-    def close(self, window: list[tuple[int, int, int]]) -> None:
-        at = 0
-        for doc, start, size in window:
-            self.pieces.append((doc, start, size, self.made, at))
-            at += size
-        self.made += 1
-
-    def take(self, chain: int, doc: int) -> bool:
-        """Whether the document, or its rest, opens a window."""
-        self.used[doc], fresh = True, not self.open[chain]
-        start, left = 0, int(self.sizes[doc])
-        while left:
-            size = min(left, self.room[chain])
-            self.open[chain].append((doc, start, size))
-            start, left, self.room[chain] = start + size, left - size, self.room[chain] - size
-            if not self.room[chain]:
-                self.close(self.open[chain])
-                self.open[chain], self.room[chain], fresh = [], self.length, True
-        return fresh
-
-    def next_seed(self, chain: int) -> None:
-        """Takes the next unused document, and more while they have no words to ask by; -1 when none is left."""
-        self.seed[chain] = -1
-        while self.seed[chain] < 0:
-            while self.following < len(self.order) and self.used[self.order[self.following]]:
-                self.following += 1
-            if self.following == len(self.order):
-                return
-            doc = int(self.order[self.following])
-            self.take(chain, doc)
-            if self.words[doc]:
-                self.seed[chain] = doc
-
-    def round(self, found: dict[int, list[int]]) -> None:
-        """Chains take their seeds' neighbours, best first; lists of fewer than ``TOP`` are whole."""
-        for chain, seed in enumerate(self.seed):
-            if seed < 0:
-                continue
-            own = found.get(seed, [])
-            for doc in own:
-                if not self.used[doc] and self.take(chain, doc):
-                    self.seed[chain] = doc
-                    break
-            else:
-                if len(own) < TOP:
-                    self.next_seed(chain)
-
-    def finish(self) -> None:
-        """Joins the windows that are still open."""
-        window, room = [], self.length
-        for doc, start, left in (piece for own in self.open for piece in own):
-            while left:
-                size = min(left, room)
-                window.append((doc, start, size))
-                start, left, room = start + size, left - size, room - size
-                if not room:
-                    self.close(window)
-                    window, room = [], self.length
-        if window:
-            self.close(window)
-        self.open = []
-
+def vectors(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Unit vectors of the square roots of the texts' word counts, words dealt over ``WIDTH`` places."""
+    found = np.bincount(np.repeat(np.arange(len(sizes)) * WIDTH, sizes) + (hashes % np.uint64(WIDTH)).astype(np.int64), minlength=len(sizes) * WIDTH)
+    found = np.sqrt(found.reshape(len(sizes), WIDTH).astype(np.float32))
+    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), np.float32(1e-9))
 
-PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-_PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
-_PLACED = pa.schema([(n, pa.int64()) for n in ("key", "start", "length", "sequence_id", "offset")])
 
+class Tree:
+    """Splits of the space of vectors by two means each, fitted on a sample; ``cells`` gives 0 .. 2**LEVELS - 1."""
 
-def _packed(with_ids: bool):
-    def run(batches):
-        for batch in batches:
-            for doc, tokens, data, pieces in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tokens", "ids", "pieces"))):
-                ids, rows = np.frombuffer(data, np.uint16 if len(data) == 2 * tokens else np.uint32), []
-                for p in pieces:
-                    part = ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()
-                    rows.append((doc, p["start"], p["length"], zlib.crc32(part), tokens, p["sequence_id"], p["offset"], part if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
+    def __init__(self, sample: np.ndarray):
+        self.ways, self.least = np.zeros((1 << LEVELS, WIDTH), np.float32), np.zeros(1 << LEVELS, np.float32)
+        rng, at = np.random.default_rng(7), np.ones(len(sample), np.int64)
+        for node in range(1, 1 << LEVELS):
+            own = sample[at == node]
+            if len(own) < 2:
+                continue
+            means = own[rng.choice(len(own), 2, replace=False)]
+            for _ in range(8):
+                first = own @ (means[0] - means[1]) > (means[0] @ means[0] - means[1] @ means[1]) / 2
+                if first.all() or not first.any():
+                    break
+                means = np.stack([own[first].mean(0), own[~first].mean(0)])
+            self.ways[node], self.least[node] = means[0] - means[1], (means[0] @ means[0] - means[1] @ means[1]) / 2
+            at[at == node] = 2 * node + (own @ self.ways[node] <= self.least[node])
 
-    return run
+    def cells(self, found: np.ndarray) -> np.ndarray:
+        at, over, every = np.ones(len(found), np.int64), found @ self.ways.T, np.arange(len(found))
+        for _ in range(LEVELS):
+            at = 2 * at + (over[every, at] <= self.least[at])
+        return at - (1 << LEVELS)
 
 
-def placed(docs: DataFrame, length: int) -> DataFrame:
-    """Pieces (key, start, length, sequence_id, offset) of tokenised documents that were written."""
-    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/cut-{uuid.uuid4().hex}"
-    every = docs.select("key", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tokens", "words").toArrow()
-    key, doc_id, tokens, words = (every.column(c).to_numpy() for c in ("key", "doc_id", "tokens", "words"))
-    by = np.argsort(key)
-    key, doc_id, tokens, words = key[by], doc_id[by], tokens[by], words[by]
-    start = np.searchsorted(key, np.arange((int(key[-1]) >> 32) + 1 if len(key) else 0) << 32)
-    fill, n, mean = Filling(tokens, words, np.lexsort((key, mix64(doc_id))), length), len(key), max(1.0, float(words.mean()) if len(key) else 0.0)
-    common = cut(docs.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).filter(f"df > 1 AND 2 * df < {n}"))
-    index = docs.select("key", "tokens", "words", "terms", "times")
-
-    def write():
-        columns = zip(*fill.pieces) if fill.pieces else [()] * 5
-        doc, first, size, window, at = (np.array(c, np.int64) for c in columns)
-        rows = pa.Table.from_arrays([pa.array(c) for c in (key[doc], first, size, window, at)], schema=_PLACED)
-        spark.createDataFrame(rows).write.mode("append").parquet(path)
-        fill.pieces = []
-
-    while not fill.used.all():
-        seeds = spark.createDataFrame(pa.table({"key": key[[s for s in fill.seed if s >= 0]]}))
-        asked = docs.select("key", "terms").join(F.broadcast(seeds), "key", "left_semi").mapInArrow(_exploded, "key long, term long").join(common, "term").select("key", "term", "df").toArrow()
-        found: dict[int, list[int]] = {}
-        if asked.num_rows:
-            queries = Queries(*(asked.column(c).to_numpy() for c in ("key", "term", "df")), n)
-            shared = spark.sparkContext.broadcast((queries, np.packbits(fill.used, bitorder="little"), start))
-            hits = index.mapInArrow(_searched(shared, mean), "seed long, key long, score double")
-            hits = hits.groupBy((F.col("seed") / QUERIES).cast("long")).applyInArrow(_merged, "seed long, key long, score double").toArrow()
-            seed, doc, _ = best_of(*(hits.column(c).to_numpy() for c in ("seed", "key", "score")))
-            for s, d in zip(np.searchsorted(key, queries.key[seed]).tolist(), np.searchsorted(key, doc).tolist()):
-                found.setdefault(s, []).append(d)
-            shared.destroy()
-        fill.round(found)
-        write()
-    fill.finish()
-    write()
-    return spark.read.schema("key long, start long, length long, sequence_id long, offset long").parquet(path)
+def _of_batches(batches, columns: list[str], ends: np.ndarray, make):
+    """Rows of ``make(vectors)`` beside the given columns."""
+    for batch in batches:
+        for a, b in chunks(batch.column("tokens").to_pylist(), 1 << 19):
+            part = batch.slice(a, b - a)
+            sizes = part.column("tokens").to_numpy()
+            data = [np.frombuffer(c, np.uint16 if len(c) == 2 * n else np.uint32)[:-1] for c, n in zip(part.column("ids").to_pylist(), sizes.tolist())]
+            for c in range(0, len(data), 500):
+                own = part.slice(c, 500)
+                found = make(vectors(*words_of(np.concatenate(data[c : c + 500]), sizes[c : c + 500] - 1, ends)))
+                yield pa.RecordBatch.from_arrays([*(own.column(n) for n in columns), found], [*columns, "made"])
+
+
+def fitted(tokenised: DataFrame, rows: int, ends: np.ndarray) -> Tree:
+    """A tree fitted on the documents of the ``SAMPLE`` least hashes."""
+    share = int(min(1.0, 2.0 * SAMPLE / max(1, rows)) * (1 << 62))
+    hashed = F.pmod(F.xxhash64("key"), F.lit(1 << 62))
+    some = tokenised.select("tokens", "ids", hashed.alias("hash")).filter(F.col("hash") <= share)
+    made = some.mapInArrow(lambda batches: _of_batches(batches, ["hash"], ends, lambda found: pa.array([v.tobytes() for v in found], pa.binary())), "hash long, made binary")
+    found = made.orderBy("hash").limit(SAMPLE).toArrow().column("made").to_pylist()
+    return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, WIDTH))
+
+
+def places(tokenised: DataFrame, rows: int, ends: np.ndarray) -> DataFrame:
+    """(key, cell, home) of tokenised rows: the order of all documents is by cell, then home, then key."""
+    spark = tokenised.sparkSession
+    tree = spark.sparkContext.broadcast(fitted(tokenised, rows, ends))
+    coded = tokenised.select("key", "tokens", "ids", "sketch").mapInArrow(
+        lambda batches: _of_batches(batches, ["key", "tokens", "sketch"], ends, lambda found: pa.array(tree.value.cells(found))), "key long, tokens long, sketch array<long>, made long"
+    )
+    coded = cut(coded.withColumnRenamed("made", "cell"))
+    runs = coded.select("key", "cell", F.explode("sketch").alias("run"))
+    shared = runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("key", "cell")).alias("first")).filter("texts > 1")
+    homes = runs.select("key", "run").join(shared, "run").groupBy("key").agg(F.min(F.struct("texts", "run", "first.cell")).alias("at"))
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("at.texts") / GROUP))
+    home = F.when(F.col("at").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("at.run", part))
+    return coded.select("key", "tokens", "cell").join(homes, "key", "left").select("key", "tokens", F.coalesce("at.cell", "cell").alias("cell"), home.alias("home"))
+
+
+def dealt(tokenised: DataFrame, ends: np.ndarray) -> DataFrame:
+    """Tokenised rows, similar ones next to each other, in tasks of about equally many tokens.
+
+    A cell is a range of the order as long as its tokens, and a home's place in it is drawn by its hash.
+    """
+    total, rows = tokenised.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = -(-total // SHARD_TOKENS)
+    tasks = max(1, min(shards, TASKS), -(-shards // SHARDS_OF_TASK))
+    found = cut(places(tokenised, rows, ends))
+    # at most 2**LEVELS rows
+    cells = found.groupBy("cell").agg(F.sum("tokens").alias("words")).withColumn("base", F.sum("words").over(W.orderBy("cell")) - F.col("words"))
+    at = F.col("base") + F.col("words") * (F.shiftrightunsigned("home", 11) / F.lit(float(1 << 53)))
+    task = F.least(F.floor(at * (tasks / max(1, total))), F.lit(tasks - 1)).cast("int")
+    found = found.join(F.broadcast(cells), "cell").select("key", "cell", "home", task.alias("task"))
+    return tokenised.select("key", "doc_id", "tokens", "ids").join(found, "key").repartitionById(tasks, "task").sortWithinPartitions("cell", "home", "key").select("doc_id", "tokens", "ids")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """One row per piece: where it comes from (doc_id, start, length, doc_tokens), where it goes (sequence_id, offset), its ids."""
-    docs = docs.select("doc_id", "text").mapInArrow(_tokenised(path), "key long, doc_id long, tokens long, words long, ids binary, terms binary, times binary")
-    # small row groups, as a writer holds a whole one beside the encoder's words
-    docs = cut(docs, **{"parquet.block.size": 16 << 20})
-    pieces = placed(docs, length).groupBy("key").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    return docs.select("key", "doc_id", "tokens", "ids").join(pieces, "key").mapInArrow(_packed(with_ids), PIECE_SCHEMA)
+    tokenised = cut(docs.select("doc_id", "text").mapInArrow(_tokenised(path), TOKENISED))
+    ends = ending(path)
+    return dealt(tokenised, ends).mapInArrow(_packed(length, with_ids, ends), PIECE_SCHEMA)
 
 
 def tokenizer_path() -> str:
