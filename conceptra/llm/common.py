@@ -14,25 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 try:
-    # Arrays of a few megabytes come and go all the time: keep their memory (up to 64 MB) instead of
-    # giving it back and having each page made anew. M_MMAP_THRESHOLD is -3, M_TRIM_THRESHOLD -1.
-    ctypes.CDLL("libc.so.6").mallopt(-3, 32 << 20)
-    ctypes.CDLL("libc.so.6").mallopt(-1, 64 << 20)
+    _libc = ctypes.CDLL("libc.so.6")
+    # Arrays of a few megabytes come and go all the time: keep their memory (up to 64 MB) while a task
+    # runs, instead of having each page made anew. M_MMAP_THRESHOLD is -3, M_TRIM_THRESHOLD -1.
+    _libc.mallopt(-3, 32 << 20)
+    _libc.mallopt(-1, 64 << 20)
 except (OSError, AttributeError):  # another C library: only slower
-    pass
+    _libc = None
 
 #: Text whose bytes are turned into arrays at once; larger texts are taken alone.
 CHUNK_BYTES = 1 << 21
+#: Rows of a part of a batch.
+MOST_ROWS = (1 << 16) - 1
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers have inverses modulo 2**64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or an own one where none is set, as in tests."""
+    """The folder that driver and executors share: the cluster's. On one machine an own one where none is set, as in tests."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="checkpoint-")
     return _own_dir
 
@@ -47,10 +52,59 @@ def cut(df: DataFrame, **options) -> DataFrame:
     read only the columns they need. ``options`` are those of the writer.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    small_batches(spark)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): every row as a struct, whatever its columns are called, with a key of its own.
+
+    Written, so that the keys stay the same however often they are read.
+    """
+    return cut(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")))
+
+
+def trim() -> None:
+    """Gives memory that is not in use back to the machine: a worker that waits holds nothing that others need."""
+    global _powers, _inverses
+    _powers, _inverses = _powers[:1].copy(), _inverses[:1].copy()
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def tidy(run):
+    """A function of batches that gives its memory back at the end."""
+
+    def tidied(batches):
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
+def tidy_group(run):
+    """The same for a function of a group's table."""
+
+    def tidied(table):
+        out = run(table)
+        trim()
+        return out
+
+    return tidied
+
+
+#: Rows of an Arrow batch where the session has Spark's default: a batch of texts is held by the executor and its worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes batches of whole texts small, unless the session was told otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a frame that ``cut`` returned and that nothing reads any more."""
     spark = df.sparkSession
@@ -68,16 +122,41 @@ def release(spark: SparkSession) -> None:
 
 
 def slices(batch: pa.RecordBatch, limit: int):
-    """Parts of a batch (doc_id, text) as (doc_ids, texts as bytes) of about ``limit`` bytes, so that a batch is never held twice."""
+    """Parts of a batch (doc_id, text) as (doc_ids, texts as bytes) of about ``limit`` bytes, so that a batch is never held twice.
+
+    A part has at most 65,535 rows, whose numbers fit in 16 bits.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-    for a, b in chunks(sizes, limit):
+    for a, b in ((x, min(x + MOST_ROWS, end)) for start, end in chunks(sizes, limit) for x in range(start, end, MOST_ROWS)):
         yield batch.column("doc_id").slice(a, b - a), [t.encode("utf-8", "replace") if t else b"" for t in batch.column("text").slice(a, b - a).to_pylist()]
 
 
+def gathered(batches, limit: int):
+    """What ``slices`` gives, over all batches together: (doc_ids, texts as bytes) of about ``limit`` bytes and at most 65,535 rows."""
+    names, held, size = [], [], 0
+    for batch in batches:
+        for some, texts in slices(batch, max(1, limit // 16)):
+            more = sum(map(len, texts))
+            if held and (size + more > limit or len(held) + len(texts) > MOST_ROWS):
+                yield pa.concat_arrays(names), held
+                names, held, size = [], [], 0
+            names.append(some)
+            held += texts
+            size += more
+    if held:
+        yield pa.concat_arrays(names), held
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sample_share(wanted: int, total: int) -> int:
+    """Which hashes below 2**62 to take for about ``wanted`` of ``total`` rows; never none."""
+    return max(1, min(1 << 62, (wanted << 62) // max(1, total)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 output bits."""
     x = x.astype(np.uint64, copy=True)
