@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import CHUNK_BYTES, SPACE, chunks, cut, documents, mix64, rolling
+from .common import CHUNK_BYTES, SPACE, chunks, cut, documents, mix64, rolling, sample_share, small_batches, tidy
 from .words import ending, ragged, word_tokenizer
 
 LENGTH, END = 4096, 2
@@ -108,12 +108,23 @@ def sketches(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes[least].view(np.int64), np.bincount(owner[least], minlength=len(sizes))
 
 
-def _list(values: pa.Array | pa.Buffer, sizes: np.ndarray, width: int = 1) -> pa.Array:
-    """Lists of long values or, given a buffer, binary values of the given sizes."""
-    offsets = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int32)
-    if isinstance(values, pa.Buffer):
-        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), values])
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def packed_ids(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The ids of each document, compressed: they are written once and shuffled twice."""
+    data, ends = memoryview(ids.tobytes()), (np.cumsum(sizes) * ids.itemsize).tolist()
+    return pa.array([_ZSTD.compress(data[a:b], asbytes=True) for a, b in zip([0, *ends], ends)], pa.binary())
+
+
+def unpacked_ids(column: pa.Array, sizes: np.ndarray, kind) -> list[np.ndarray]:
+    """What ``packed_ids`` was given, document by document."""
+    width = np.dtype(kind).itemsize
+    return [np.frombuffer(_ZSTD.decompress(c, n * width), kind) for c, n in zip(column.to_pylist(), sizes.tolist())]
+
+
+def kind_of(ends: np.ndarray):
+    return np.uint32 if len(ends) > 1 << 16 else np.uint16
 
 
 TOKENISED = "key long, doc_id long, tokens long, ids binary, sketch array<long>"
@@ -130,7 +141,7 @@ def _tokenised(path: str):
                 ended = np.insert(ids, np.cumsum(sizes), ids.dtype.type(END))
                 columns = [
                     pa.array(np.arange(key, key + n)), batch.column("doc_id").slice(first, n).cast(pa.int64()), pa.array(sizes + 1),
-                    _list(pa.py_buffer(ended), sizes + 1, ended.itemsize), _list(pa.array(hashes), found),
+                    packed_ids(ended, sizes + 1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found)]).astype(np.int32)), pa.array(hashes)),
                 ]
                 key += n
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "tokens", "ids", "sketch"])
@@ -241,7 +252,7 @@ def _packed(length: int, with_ids: bool, ends: np.ndarray):
 
     def pieces(rows: pa.Table, windows: Windows):
         names, sizes = rows.column("doc_id").to_pylist(), rows.column("tokens").to_numpy()
-        data = [np.frombuffer(c, np.uint16 if len(c) == 2 * n else np.uint32) for c, n in zip(rows.column("ids").to_pylist(), sizes.tolist())]
+        data = unpacked_ids(rows.column("ids"), sizes, kind_of(ends))
         out = []
         for doc, found in windows.fill(Bm25(*words_of(np.concatenate([d[:-1] for d in data]), sizes - 1, ends)), sizes):
             ids, tokens = data[doc].astype("<u4"), int(sizes[doc])
@@ -306,7 +317,7 @@ def _of_batches(batches, columns: list[str], ends: np.ndarray, make):
         for a, b in chunks(batch.column("tokens").to_pylist(), 1 << 19):
             part = batch.slice(a, b - a)
             sizes = part.column("tokens").to_numpy()
-            data = [np.frombuffer(c, np.uint16 if len(c) == 2 * n else np.uint32)[:-1] for c, n in zip(part.column("ids").to_pylist(), sizes.tolist())]
+            data = [ids[:-1] for ids in unpacked_ids(part.column("ids"), sizes, kind_of(ends))]
             for c in range(0, len(data), 500):
                 own = part.slice(c, 500)
                 found = make(vectors(*words_of(np.concatenate(data[c : c + 500]), sizes[c : c + 500] - 1, ends)))
@@ -315,9 +326,9 @@ def _of_batches(batches, columns: list[str], ends: np.ndarray, make):
 
 def fitted(tokenised: DataFrame, rows: int, ends: np.ndarray) -> Tree:
     """A tree fitted on the documents of the ``SAMPLE`` least hashes."""
-    share = int(min(1.0, 2.0 * SAMPLE / max(1, rows)) * (1 << 62))
+    share = sample_share(2 * SAMPLE, rows)
     hashed = F.pmod(F.xxhash64("key"), F.lit(1 << 62))
-    some = tokenised.select("tokens", "ids", hashed.alias("hash")).filter(F.col("hash") <= share)
+    some = tokenised.select("tokens", "ids", hashed.alias("hash")).filter(F.col("hash") < share)
     made = some.mapInArrow(lambda batches: _of_batches(batches, ["hash"], ends, lambda found: pa.array([v.tobytes() for v in found], pa.binary())), "hash long, made binary")
     found = made.orderBy("hash").limit(SAMPLE).toArrow().column("made").to_pylist()
     return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, WIDTH))
@@ -328,7 +339,7 @@ def places(tokenised: DataFrame, rows: int, ends: np.ndarray) -> DataFrame:
     spark = tokenised.sparkSession
     tree = spark.sparkContext.broadcast(fitted(tokenised, rows, ends))
     coded = tokenised.select("key", "tokens", "ids", "sketch").mapInArrow(
-        lambda batches: _of_batches(batches, ["key", "tokens", "sketch"], ends, lambda found: pa.array(tree.value.cells(found))), "key long, tokens long, sketch array<long>, made long"
+        lambda batches: tidy(lambda rows: _of_batches(batches, ["key", "tokens", "sketch"], ends, lambda found: pa.array(tree.value.cells(found))))(batches), "key long, tokens long, sketch array<long>, made long"
     )
     coded = cut(coded.withColumnRenamed("made", "cell"))
     runs = coded.select("key", "cell", F.explode("sketch").alias("run"))
@@ -358,9 +369,10 @@ def dealt(tokenised: DataFrame, ends: np.ndarray) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """One row per piece: where it comes from (doc_id, start, length, doc_tokens), where it goes (sequence_id, offset), its ids."""
-    tokenised = cut(docs.select("doc_id", "text").mapInArrow(_tokenised(path), TOKENISED))
+    small_batches(docs.sparkSession)
+    tokenised = cut(docs.select("doc_id", "text").mapInArrow(tidy(_tokenised(path)), TOKENISED))
     ends = ending(path)
-    return dealt(tokenised, ends).mapInArrow(_packed(length, with_ids, ends), PIECE_SCHEMA)
+    return dealt(tokenised, ends).mapInArrow(tidy(_packed(length, with_ids, ends)), PIECE_SCHEMA)
 
 
 def tokenizer_path() -> str:

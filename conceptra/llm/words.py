@@ -125,7 +125,7 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(model)
-        self.kind = np.uint32 if self.merges.size > 1 << 16 else np.uint16
+        self.kind = np.uint32 if len(ending(path)) > 1 << 16 else np.uint16
         self.odd: dict[bytes, np.ndarray] = {}
 
     def _odd(self, words: list[bytes]) -> list[np.ndarray]:
