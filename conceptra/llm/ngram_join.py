@@ -24,8 +24,10 @@ sets from below and drops pairs that cannot link before their sets are fetched.
 candidate is verified on the exact counts of its hashes.
 
 Null, empty and blank texts have no shingles and link with nothing. Repeated rows fall into one
-class. A row without an id is not compared; it comes back with nulls. Only doc_id and text are read.
-No rows in: no rows out.
+class. Of several texts under one id the one with the most shingles (then the largest digest) is compared
+with others; each row keeps the class of its own set. A row without an id is not compared; it comes back with nulls.
+Only doc_id and text are read. A text above ``BATCH_BYTES`` is a batch of its own, whose arrays take
+some dozens of bytes for each byte of it. No rows in: no rows out.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, discard, documents, mix64, release, slices, word_hashes
+from .common import chunks, components, cut, discard, documents, gathered, keyed, mix64, release, small_batches, tidy, tidy_group, word_hashes
 
 WORDS = 5
 #: A pair links when PERCENT_OF * intersection >= PERCENT * union.
@@ -76,14 +78,26 @@ def distinct(hashes: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[fresh], owner[fresh]
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed, with the size first: entropy coding halves what the shuffle's own compression leaves."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def whole(data: bytes) -> bytes:
+    return _ZSTD.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def pack(sorted_hashes: np.ndarray) -> bytes:
     """Differences of sorted hashes by byte plane, so that the high planes compress to nothing."""
     steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(whole(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
@@ -105,37 +119,36 @@ def _blocks(buckets: int):
 
     def run(batches):
         number = 0
-        for batch in batches:
-            for names, texts in slices(batch, BATCH_BYTES):
-                ids, n = names.to_numpy(zero_copy_only=False).astype(np.int64), len(texts)
-                parts = [shingles(texts[c:d]) for c, d in chunks([len(t) for t in texts])]
-                hashes, owner = distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                size = np.bincount(owner, minlength=n).astype(np.int64)
-                by_text = np.argsort(owner, kind="stable")
-                sums = []
-                for salt in (1, 2):
-                    run_up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes[by_text] + np.uint64(salt)), dtype=np.uint64)])
-                    ends = np.cumsum(size)
-                    sums.append((run_up[ends] - run_up[ends - size]).view(np.int64))
-                edge = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)) != 0)
-                token, count = hashes[edge], np.diff(edge, append=len(hashes))
-                hot = count >= FREQUENT
-                keep = ~np.repeat(hot, count)
-                sketch = np.concatenate([_sketch(hashes, owner, by_text, np.cumsum(size), c) for c in range(0, n, 1000)])
-                key = (TaskContext.get().partitionId() << 32) | number
-                number += 1
-                bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                kept_owner, upto = owner[keep], np.concatenate([[0], np.cumsum(np.where(hot, 0, count))])
-                rows = []
-                for k in range(buckets):
-                    s, e = cuts[k], cuts[k + 1]
-                    if e > s:
-                        rows.append((k, key, pack(token[s:e]), np.minimum(count[s:e], FREQUENT).astype(np.uint8).tobytes(), kept_owner[upto[s] : upto[e]].tobytes(), None))
-                meta = np.concatenate([ids, size, *sums, *sketch.T]).tobytes()
-                own = int(mix64(np.array([key], np.uint64))[0] % np.uint64(buckets))
-                rows.append((own, key, pack(token[hot]), count[hot].astype(np.uint16).tobytes(), owner[~keep].tobytes(), meta))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
+        for names, texts in gathered(batches, BATCH_BYTES):
+            ids, n = names.to_numpy(zero_copy_only=False).astype(np.int64), len(texts)
+            parts = [shingles(texts[c:d]) for c, d in chunks([len(t) for t in texts])]
+            hashes, owner = distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            size = np.bincount(owner, minlength=n).astype(np.int64)
+            by_text = np.argsort(owner, kind="stable")
+            sums = []
+            for salt in (1, 2):
+                run_up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes[by_text] + np.uint64(salt)), dtype=np.uint64)])
+                ends = np.cumsum(size)
+                sums.append((run_up[ends] - run_up[ends - size]).view(np.int64))
+            edge = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)) != 0)
+            token, count = hashes[edge], np.diff(edge, append=len(hashes))
+            hot = count >= FREQUENT
+            keep = ~np.repeat(hot, count)
+            sketch = np.concatenate([_sketch(hashes, owner, by_text, np.cumsum(size), c) for c in range(0, n, 1000)])
+            key = (TaskContext.get().partitionId() << 32) | number
+            number += 1
+            bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            kept_owner, upto = owner[keep], np.concatenate([[0], np.cumsum(np.where(hot, 0, count))])
+            rows = []
+            for k in range(buckets):
+                s, e = cuts[k], cuts[k + 1]
+                if e > s:
+                    rows.append((k, key, pack(token[s:e]), squeezed(np.minimum(count[s:e], FREQUENT).astype(np.uint8).tobytes()), squeezed(kept_owner[upto[s] : upto[e]].tobytes()), None))
+            meta = np.concatenate([ids, size, *sums, *sketch.T]).tobytes()
+            own = int(mix64(np.array([key], np.uint64))[0] % np.uint64(buckets))
+            rows.append((own, key, pack(token[hot]), squeezed(count[hot].astype(np.uint16).tobytes()), squeezed(owner[~keep].tobytes()), meta))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
 
     return run
 
@@ -147,7 +160,7 @@ def _answers(table: pa.Table) -> pa.Table:
     out = [(0, r["batch"], r["tokens"], r["counts"], r["owners"], r["meta"]) for r in rows if r["meta"] is not None]
     if mine:
         tokens = [unpack(r["tokens"]) for r in mine]
-        counts = [np.frombuffer(r["counts"], np.uint8) for r in mine]
+        counts = [np.frombuffer(whole(r["counts"]), np.uint8) for r in mine]
         every = np.concatenate(tokens)
         order = np.argsort(every, kind="stable")
         edge = np.flatnonzero(np.diff(every[order], prepend=every[order[:1]] + np.uint64(1)) != 0)
@@ -160,9 +173,9 @@ def _answers(table: pa.Table) -> pa.Table:
             at += len(token)
             take = (level > 1) & (count < FREQUENT)
             if take.any():
-                owners = np.frombuffer(r["owners"], np.uint16)[np.repeat(take[count < FREQUENT], count[count < FREQUENT])]
-                packed = np.concatenate([level[take], count[take]]).tobytes()
-                out.append((0, r["batch"], pack(token[take]), packed, owners.tobytes(), None))
+                owners = np.frombuffer(whole(r["owners"]), np.uint16)[np.repeat(take[count < FREQUENT], count[count < FREQUENT])]
+                packed = squeezed(np.concatenate([level[take], count[take]]).tobytes())
+                out.append((0, r["batch"], pack(token[take]), packed, squeezed(owners.tobytes()), None))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _BLOCK.types)] if out else [pa.array([], t) for t in _BLOCK.types], schema=_BLOCK)
 
 
@@ -191,12 +204,12 @@ def _assembled(table: pa.Table) -> pa.Table:
         found = unpack(r["tokens"])
         if r["meta"] is not None:
             ids, size, d1, d2, *sketch = np.frombuffer(r["meta"], np.int64).reshape(4 + SKETCH_BITS // 64, -1)
-            count, lv = np.frombuffer(r["counts"], np.uint16), np.full(len(found), FREQUENT, np.uint8)
+            count, lv = np.frombuffer(whole(r["counts"]), np.uint16), np.full(len(found), FREQUENT, np.uint8)
         else:
-            lv, count = np.frombuffer(r["counts"], np.uint8).reshape(2, -1)
+            lv, count = np.frombuffer(whole(r["counts"]), np.uint8).reshape(2, -1)
         token.append(np.repeat(found, count))
         level.append(np.repeat(lv, count))
-        owner.append(np.frombuffer(r["owners"], np.uint16))
+        owner.append(np.frombuffer(whole(r["owners"]), np.uint16))
     token, level, owner = map(np.concatenate, (token, level, owner))
     order = np.lexsort((token, owner))
     token, level = token[order], level[order]
@@ -215,8 +228,9 @@ def token_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, digest (d1, d2), index keys and shared tokens of every row."""
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = docs.mapInArrow(_blocks(max(8, -(-chars // BUCKET_CHARS))), BLOCK_SCHEMA)
-    return blocks.groupBy("bucket").applyInArrow(_answers, BLOCK_SCHEMA).groupBy("batch").applyInArrow(_assembled, SET_SCHEMA)
+    small_batches(docs.sparkSession)
+    blocks = docs.mapInArrow(tidy(_blocks(max(8, -(-chars // BUCKET_CHARS)))), BLOCK_SCHEMA)
+    return blocks.groupBy("bucket").applyInArrow(tidy_group(_answers), BLOCK_SCHEMA).groupBy("batch").applyInArrow(tidy_group(_assembled), SET_SCHEMA)
 
 
 def _verified(batches):
@@ -302,7 +316,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     same = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id"))
     named = cut(every.select("doc_id", "n", "d1", "d2").join(same, ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
     firsts = named.select("class_id").distinct().withColumnRenamed("class_id", "doc_id")
-    sets = cut(every.filter("keys IS NOT NULL").select("doc_id", "n", "keys", "shared", "sketch").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sets = every.filter("keys IS NOT NULL").join(firsts, "doc_id", "left_semi")
+    sets = cut(sets.groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2", "keys", "shared", "sketch")).alias("set")).select("doc_id", "set.n", "set.keys", "set.shared", "set.sketch"))
     discard(every)
     release(spark)
     found = linked(sets).withColumnRenamed("node", "class_id")
@@ -316,6 +331,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates (the smallest id), all columns; for use as a pipeline stage."""
-    drop = join_components(docs).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates (that with the smallest id), all columns; for use as a pipeline stage.
+
+    Rows are told apart by a number, so repeated rows and rows without ids are compared like all others.
+    """
+    rows = keyed(docs)
+    found = join_components(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("key"), "component_id")
+    several = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    groups = cut(found.join(several, "component_id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    first = groups.join(rows.select("key", F.col("row.doc_id").alias("id")), "key").groupBy("component_id").agg(least.alias("first")).select("component_id", "first.key")
+    go = groups.join(first.withColumnRenamed("key", "stays"), "component_id").filter("key != stays").select("key")
+    return rows.join(go, "key", "left_anti").select("row.*")
