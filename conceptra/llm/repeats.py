@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, documents, mix64, release, rolling, slices
-from .ngram_join import pack, unpack
+from .common import chunks, cut, documents, gathered, mix64, release, rolling, small_batches, tidy, tidy_group
+from .ngram_join import pack, squeezed, unpack, whole
 
 WINDOW, GRAM = 100, 24
 GRAMS = WINDOW - GRAM + 1
@@ -83,30 +83,39 @@ def _parts(text: bytes):
 
 def _blocks(buckets: int):
     def run(batches):
-        for batch in batches:
-            for names, texts in slices(batch, BATCH_BYTES):
-                pieces = [(i, at, part) for i, text in enumerate(texts) for at, part in _parts(text)]
-                anchor, rest = [], []
-                for c, d in chunks([len(p[2]) for p in pieces]):
-                    some = pieces[c:d]
-                    bounds = np.cumsum([0, *(len(p[2]) for p in some)])
-                    first, last, place, gram, context = anchors(np.frombuffer(b"".join(p[2] for p in some), np.uint8), bounds)
-                    which = np.searchsorted(bounds, first, side="right") - 1
-                    rows = np.empty(len(first), _REST)
-                    rows["context"], rows["span"], rows["off"] = context, last - first, place - first
-                    rows["start"] = first - bounds[which] + np.array([p[1] for p in some], np.int64)[which]
-                    rows["owner"] = np.array([p[0] for p in some], np.int64)[which]
-                    anchor.append(gram)
-                    rest.append(rows)
-                anchor, rest = np.concatenate(anchor), np.concatenate(rest)
-                order = np.argsort(anchor, kind="stable")
-                anchor, rest = anchor[order], rest[order]
-                bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                named = pack(names.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                rows = [(k, pack(anchor[s:e]), rest[s:e].tobytes(), named) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
+        for names, texts in gathered(batches, BATCH_BYTES):
+            pieces = [(i, at, part) for i, text in enumerate(texts) for at, part in _parts(text)]
+            anchor, rest = [], []
+            for c, d in chunks([len(p[2]) for p in pieces]):
+                some = pieces[c:d]
+                bounds = np.cumsum([0, *(len(p[2]) for p in some)])
+                first, last, place, gram, context = anchors(np.frombuffer(b"".join(p[2] for p in some), np.uint8), bounds)
+                which = np.searchsorted(bounds, first, side="right") - 1
+                rows = np.empty(len(first), _REST)
+                rows["context"], rows["span"], rows["off"] = context, last - first, place - first
+                rows["start"] = first - bounds[which] + np.array([p[1] for p in some], np.int64)[which]
+                rows["owner"] = np.array([p[0] for p in some], np.int64)[which]
+                anchor.append(gram)
+                rest.append(rows)
+            anchor, rest = np.concatenate(anchor), np.concatenate(rest)
+            # an anchor is the least hash of many: mixed once more, all buckets get their share
+            spread = mix64(anchor)
+            order = np.argsort(spread, kind="stable")
+            anchor, rest, spread = anchor[order], rest[order], spread[order]
+            bucket = ((spread >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            ids = names.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            rows = []
+            for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if e > s:
+                    by = np.argsort(anchor[s:e], kind="stable")
+                    # only the ids that this bucket's contexts belong to
+                    some, at = np.unique(rest["owner"][s:e][by], return_inverse=True)
+                    own = rest[s:e][by]
+                    own["owner"] = at
+                    rows.append((k, pack(anchor[s:e][by]), squeezed(np.ascontiguousarray(own.view(np.uint8).reshape(-1, _REST.itemsize).T).tobytes()), squeezed(ids[some].tobytes())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
 
     return run
 
@@ -120,8 +129,8 @@ def _sorted_out(table: pa.Table) -> pa.Table:
     anchor, rest, ids = [], [], []
     for a, r, i in zip(*(table.column(c).to_pylist() for c in ("anchor", "rest", "ids"))):
         anchor.append(unpack(a))
-        rest.append(np.frombuffer(r, _REST))
-        ids.append(unpack(i).view(np.int64)[rest[-1]["owner"]])
+        rest.append(np.ascontiguousarray(np.frombuffer(whole(r), np.uint8).reshape(_REST.itemsize, -1).T).view(_REST).ravel())
+        ids.append(np.frombuffer(whole(i), np.int64)[rest[-1]["owner"]])
     anchor, rest, ids = map(np.concatenate, (anchor, rest, ids))
     order = np.lexsort((rest["start"], ids, rest["context"], anchor))
     anchor, rest, ids = anchor[order], rest[order], ids[order]
@@ -321,16 +330,17 @@ def _removed(batches):
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, size) of the byte ranges to remove; they overlap."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = docs.mapInArrow(_blocks(max(8, -(-chars // BUCKET_CHARS))), BLOCK_SCHEMA)
-    found = cut(blocks.groupBy("bucket").applyInArrow(_sorted_out, FOUND_SCHEMA))
+    blocks = docs.mapInArrow(tidy(_blocks(max(8, -(-chars // BUCKET_CHARS)))), BLOCK_SCHEMA)
+    found = cut(blocks.groupBy("bucket").applyInArrow(tidy_group(_sorted_out), FOUND_SCHEMA))
     release(docs.sparkSession)
     open_ = found.filter("anchor IS NOT NULL")
     buckets = max(8, -(-open_.count() // BUCKET_CONTEXTS))
     wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "anchor")).alias("wanted"))
-    bodies = docs.join(wanted, "doc_id").mapInArrow(_bodies(buckets), BODY_SCHEMA)
-    more = cut(bodies.groupBy("bucket").applyInArrow(_compared, FOUND_SCHEMA))
+    bodies = docs.join(wanted, "doc_id").mapInArrow(tidy(_bodies(buckets)), BODY_SCHEMA)
+    more = cut(bodies.groupBy("bucket").applyInArrow(tidy_group(_compared), FOUND_SCHEMA))
     release(docs.sparkSession)
     return found.filter("anchor IS NULL").union(more).select("doc_id", "start", "size")
 
@@ -338,7 +348,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     lists = spans(docs).groupBy("doc_id").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("size").cast("long"))).alias("gone"))
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left").mapInArrow(_removed, RESULT_SCHEMA)
+    return docs.select("doc_id", "text").join(lists, "doc_id", "left").mapInArrow(tidy(_removed), RESULT_SCHEMA)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
