@@ -1,18 +1,20 @@
 """Mixing sources to target weights along a training run (native).
 
 Every source has a weight and a schedule that says how its share moves over the run. The integral of
-the schedule is the source's cumulative token demand; a document that starts after a share of its
-source's taken words gets the position at which the demand reaches that share, found by inverting
-the integral. Documents are then range-sorted by position.
+the schedule is the source's cumulative token demand; an occurrence of a document that starts after a
+share of its source's target gets the position at which the demand reaches that share, found by
+inverting the integral: a source that is taken several times follows its schedule once over the whole
+run, not once a pass. Documents are range-sorted by position.
 
 Targets: the sources, by code point with null last, weigh 5, 2, 1, repeating, and share all words.
 A target stops at ``MAX_PASSES`` times its source's words; the excess goes to the others by weight
 until none is above. All documents of a source are taken for the whole passes; for the rest, the
-documents in an order drawn from their ids' hashes up to the target, the last one in part.
+documents in an order drawn from their ids' hashes up to the target, the last one in part. A schedule
+is a slope between -1 and 1 for each weight: the share at position t is proportional to 1 - s + 2 s t.
 
 Null text has size 0 and takes 0. A null source is a source of its own. Repeated rows are rows of
 their own. With no words at all, every target is 0. No rows in: no rows out. Only doc_id, text and
-source are read.
+source are read. Texts go through whole, within one row.
 """
 
 from __future__ import annotations
@@ -21,18 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, documents
+from .common import cut, documents, keyed
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Slopes of the schedules by weight: the heaviest sources fade out, the others fade in.
+SLOPES = (-0.5, 0.5, 0.5)
 MAX_PASSES = 3
 #: Rows of a source whose order is found within one window; larger sources get several ranges.
 RANGE_ROWS = 2000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size counts the runs of characters other than space and \\x09-\\x0D."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    r"""(doc_id, source, size) and further columns: size counts the runs of characters other than space and \x09-\x0D."""
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.cast("long").alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.cast("long").alias("size"), *more)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -49,16 +53,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     share = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
     ranked = ranked.withColumn("share", share)
     water = F.min(F.when(F.col("share") <= F.col("level"), F.struct("level", "i", "share"))).over(every)["share"]
-    return ranked.select("source", "rows", "source_size", "weight", F.least(F.col("weight") * F.coalesce(water, F.lit(0.0)), "cap").alias("target"))
+    slope = F.element_at(F.array(*map(F.lit, SLOPES)), F.pmod(F.col("i"), F.lit(len(SLOPES))) + 1)
+    return ranked.select("source", "rows", "source_size", "weight", slope.alias("slope"), F.least(F.col("weight") * F.coalesce(water, F.lit(0.0)), "cap").alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position of every document.
+def position(share, slope):
+    """Where in [0, 1] the demand (1 - s) t + s t^2 reaches a share; a slope of 0 is an even schedule."""
+    t = (-(1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) / (2 * slope)
+    return F.when(slope == 0, share).otherwise(t + F.lit(0.0))  # no negative zero
+
 
-    ``position`` lies in [0, 1) where the document first appears in the run; null if none of it is
-    taken. A source's schedule falls linearly for the first weight class and rises for the others.
+def shares(sizes: DataFrame, *more: str) -> DataFrame:
+    """Sized rows with source_size, target, slope, taken, and ``before``: the words of their source that come before in each pass.
+
+    ``more`` is the name of a column that numbers the rows, if there is one: rows without ids are ordered by it.
     """
-    sizes = cut(sized(docs).withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) / F.lit(float(1 << 53))))
+    sizes = cut(sizes.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", *more), "size"), 11) / F.lit(float(1 << 53))))
     goal = cut(targets(sizes))
     key = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     side = goal.withColumnRenamed("source", "of")
@@ -67,21 +77,28 @@ def mix(docs: DataFrame) -> DataFrame:
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     base = F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     parts = parts.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.coalesce(base, F.lit(0)).alias("base"))
-    inside = W.partitionBy("source", "part").orderBy("at", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(parts, key("source", "of") & (F.col("part") == F.col("of_part"))).withColumn("before", F.col("before") + F.col("base"))
+    inside = W.partitionBy("source", "part").orderBy("at", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(parts, key("source", "of") & (F.col("part") == F.col("of_part"))).withColumn("before", F.col("inside") + F.col("base"))
     whole = F.floor(F.col("target"))
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
     extra = whole - passes * F.col("source_size")
-    rows = rows.withColumn("taken", (passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), extra - F.col("before")))).cast("long"))
-    # cumulative demand D(t) = (1 - s) t + s t^2 with slope s in (-1, 1); its inverse gives the position
-    span = F.when(passes > 0, F.col("source_size")).otherwise(extra)
-    q = F.least(F.lit(1.0), F.col("before") / span)
-    slope = F.when(F.col("weight") == F.lit(WEIGHTS[0]), F.lit(-0.5)).otherwise(F.lit(0.5))
-    t = (-(1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * q)) / (2 * slope)
-    t = t + F.lit(0.0)  # no negative zero
-    first = F.when(passes > 0, t / F.greatest(F.lit(1), passes + F.when(extra > 0, 1).otherwise(0))).otherwise(t)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, first).alias("position"), "at")
+    taken = (passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), extra - F.col("before")))).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "slope", taken.alias("taken"), "before", "at", *more)
+
+
+def occurrence(number):
+    """Position in the run of an occurrence (from 1) of a document with shares."""
+    return position(F.least(F.lit(1.0), ((number - 1) * F.col("source_size") + F.col("before")) / F.col("target")), F.col("slope"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, position of every document.
+
+    ``position`` lies in [0, 1) where the document first appears in the run; null if none of it is taken.
+    """
+    rows = shares(sized(docs))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, occurrence(F.lit(1))).alias("position"), "at")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
@@ -98,23 +115,19 @@ def materialize(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``, in training order: a row for each pass, the last one cut to the words taken.
 
     A cut text keeps its first words with the white space between them. ``n_chars`` follows the text,
-    where there is one. Repeated rows of one doc_id and size take the largest of their shares.
+    where there is one. Rows are told apart by a number, so repeated rows and rows without ids each get
+    their own share.
     """
-    shares = mix(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"), F.min("position").alias("position")).filter("taken > 0")
-    blank = F.coalesce(F.col("text"), F.lit(""))
-    size = F.regexp_count(blank, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    # the whole row goes along in one column, so that its names clash with none of these
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", size.alias("size"))
-    shares = shares.withColumnRenamed("doc_id", "of").withColumnRenamed("size", "of_size")
-    rows = rows.join(shares, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")))
+    rows = keyed(docs)
+    taken = shares(sized(rows.select("row.doc_id", "row.source", "row.text", "key"), "key"), "key").filter("taken > 0").drop("doc_id", "source")
+    rows = rows.join(taken, "key")
     passes = F.ceil(F.col("taken") / F.col("size"))
-    rows = rows.select("row", "doc_id", "size", "taken", "position", passes.alias("passes"), F.explode(F.sequence(F.lit(1).cast("long"), passes)).alias("pass"))
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), passes)))
     words = F.least(F.col("size"), F.col("taken") - (F.col("pass") - 1) * F.col("size"))
     first = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)")), F.lit(1), words.cast("int"))
     text = F.when(words < F.col("size"), F.array_join(first, "")).otherwise(F.col("row.text"))
     columns = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    when = (F.col("position") + (F.col("pass") - 1) / F.col("passes")).alias("when")
-    rows = rows.select(F.struct(*(c.alias(n) for n, c in columns.items())).alias("row"), when, "doc_id")
-    return rows.repartitionByRange("when", "doc_id").sortWithinPartitions("when", "doc_id").select("row.*")
+    rows = rows.select(F.struct(*(c.alias(n) for n, c in columns.items())).alias("row"), occurrence(F.col("pass")).alias("when"), "key")
+    return rows.repartitionByRange("when", "key").sortWithinPartitions("when", "key").select("row.*")
