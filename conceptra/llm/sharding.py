@@ -6,7 +6,8 @@ table is full; a key belongs to the shard in the slot that its hash points to. S
 slot at most for equal weights, and few keys move when a shard comes or goes.
 
 The table's size is a parameter, so the broadcast table is bounded whatever the input holds. A null
-key goes to the slot of the empty string; repeated keys share a shard; no rows in, no rows out.
+key goes to the slot of the empty string; repeated keys share a shard; no rows in, no rows out. Texts
+are not read, so their length does not matter.
 """
 
 from __future__ import annotations
@@ -56,18 +57,29 @@ def slot(key, size: int):
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(size))
 
 
-def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
-    """``df`` with the columns slot and shard; a broadcast lookup, no shuffle."""
-    spark = df.sparkSession
+def _placed(df: DataFrame, key: str, shards: list[str], size: int, weights: list[int] | None) -> tuple[DataFrame, str, str]:
+    """``df`` with two more columns of names that it does not have, and these names."""
+    spark, own = df.sparkSession, "_" * (1 + max(map(len, df.columns)))
     table = [(i, shards[s]) for i, s in enumerate(fill(shards, size, weights))]
-    looked = spark.createDataFrame(table, "slot long, shard string")
-    return df.withColumn("slot", slot(F.col(key), size)).join(F.broadcast(looked), "slot")
+    looked = spark.createDataFrame(table, f"`{own}slot` long, `{own}shard` string")
+    return df.withColumn(f"{own}slot", slot(F.col(f"`{key}`"), size)).join(F.broadcast(looked), f"{own}slot"), f"{own}slot", f"{own}shard"
+
+
+def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
+    """``df`` with the columns slot and shard, in place of own ones of these names; a broadcast lookup, no shuffle."""
+    placed, at, name = _placed(df, key, shards, size, weights)
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")), F.col(at).alias("slot"), F.col(name).alias("shard"))
 
 
 def write(df: DataFrame, key: str, path: str, shards: list[str], size: int = TABLE_SIZE, files_per_shard: int = 8) -> None:
-    """One folder per shard; rows of a shard are salted over several writers, so a large shard is no single task."""
-    placed = place(df, key, shards, size).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(files_per_shard)))
-    placed.repartition(max(1, len(shards) * files_per_shard), "shard", "salt").drop("slot", "salt").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder per shard; rows of a shard are salted over several writers, so a large shard is no single task.
+
+    All columns are kept but an own one called shard, which the folders' names replace.
+    """
+    placed, at, name = _placed(df, key, shards, size, None)
+    placed = placed.withColumn(at, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if "map" not in df.schema[c].dataType.simpleString())), F.lit(files_per_shard)))
+    placed = placed.repartition(max(1, len(shards) * files_per_shard), name, at)
+    placed.select(*(F.col(f"`{c}`") for c in df.columns if c != "shard"), F.col(name).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
