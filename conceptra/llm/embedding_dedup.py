@@ -5,6 +5,10 @@ level, a threshold per node); vectors close to a threshold go to both sides. Vec
 within leaves, label by label, in double precision; the trees' links are united. The trees are fitted
 on a sample of about ``SAMPLE_ROWS`` distinct vectors; all vectors are indexed.
 
+A tree goes on splitting below the nodes that the sample can tell apart, as deep as the largest label
+asks: there the thresholds are those of the last node with ``LEAST_SAMPLES`` sample rows, along a new
+direction at each level, so that leaves stay small while the model does not grow with the data.
+
 Splits would part most links inside a large cloud of near copies. The sample therefore also shows the
 clouds that are larger than a part of a leaf: all vectors within ``COVER`` of a cloud's centre share one
 more leaf, so that its links are counted whole. A cloud with too few vectors in the sample is not seen.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, sample_share
 
 THRESHOLD = 0.93
 TREES, SPILL, LEAF, BLOCK = 8, 0.06, 512, 1024
@@ -59,18 +63,19 @@ class Forest:
         self.clouds = clouds(sample, max(LEAST_SAMPLES, int(LEAF * share / 4))) if depth else np.zeros((0, sample.shape[1]))
         self.trees = []
         for _ in range(trees):
-            levels, node = [], np.zeros(len(sample), np.int64)
+            levels, node, known = [], np.zeros(len(sample), np.int64), 0
             for level in range(depth):
-                if len(sample) < LEAST_SAMPLES << level:
-                    break
                 direction = draw.standard_normal(sample.shape[1])
                 at = sample @ direction
-                cuts = np.zeros((3, 1 << level))
-                for k in range(1 << level):
+                if len(sample) >= LEAST_SAMPLES << level:
+                    known = level
+                cuts = np.zeros((3, 1 << known))
+                for k in range(1 << known):
                     own = at[node == k]
                     cuts[:, k] = np.quantile(own, [0.5 - spill, 0.5, 0.5 + spill]) if len(own) else 0.0
-                node = node * 2 + (at > cuts[1, node])
-                levels.append((direction, cuts))
+                if len(sample) >= LEAST_SAMPLES << level + 1:
+                    node = node * 2 + (at > cuts[1, node])
+                levels.append((direction, cuts, level - known))
             self.trees.append(levels)
 
     def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +87,9 @@ class Forest:
             out_key.append(-1 - cloud)
         for t, levels in enumerate(self.trees):
             row, node = np.arange(len(rows)), np.zeros(len(rows), np.int64)
-            for direction, (low, _, high) in levels:
-                at = (rows @ direction)[row]
-                left, right = at <= high[node], at > low[node]
+            for direction, (low, _, high), below in levels:
+                at, from_ = (rows @ direction)[row], node >> below
+                left, right = at <= high[from_], at > low[from_]
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
             out_row.append(row)
             out_key.append(t << 40 | node)
@@ -176,13 +181,13 @@ def _compared(table: pa.Table) -> pa.Table:
 
 def fit(classes: DataFrame, total: int, largest: int) -> dict[int, Forest]:
     """Forests by vector length, from a thinned sample. Depth follows the largest label."""
-    share = int(min(1.0, SAMPLE_ROWS / max(1, total)) * (1 << 20))
-    rows = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 20)) < share).select("embedding").limit(2 * SAMPLE_ROWS).toArrow().column(0).to_pylist()
+    share = sample_share(SAMPLE_ROWS, total)
+    rows = classes.filter(F.pmod(F.xxhash64("class_id"), F.lit(1 << 62)) < share).select("embedding").limit(2 * SAMPLE_ROWS).toArrow().column(0).to_pylist()
     depth = max(0, int(np.ceil(np.log2(max(1, largest / LEAF)))))
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r), []).append(r)
-    return {size: Forest(unit(own), depth, share=share / (1 << 20)) for size, own in by_size.items()}
+    return {size: Forest(unit(own), depth, share=share / (1 << 62)) for size, own in by_size.items()}
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -193,7 +198,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rows = cut(rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("embedding"))))
     fine = rows.filter("usable")
     same = cut(fine.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
-    classes = cut(fine.join(same, ["label", "h1", "h2"]).filter("vec_id = class_id").dropDuplicates(["vec_id"]).select("class_id", "label", "members", "embedding"))
+    classes = fine.join(same, ["label", "h1", "h2"]).filter("vec_id = class_id")
+    # of several vectors with one id the one with the largest hash is compared
+    classes = cut(classes.groupBy("class_id").agg(F.max(F.struct("h1", "h2", "label", "members", "embedding")).alias("v")).select("class_id", "v.label", "v.members", "v.embedding"))
     per_label = classes.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
     forests = spark.sparkContext.broadcast(fit(classes, per_label[0] or 0, per_label[1] or 0))
 
