@@ -6,7 +6,12 @@ character that no piece covers falls back to one token for each of its UTF-8 byt
 pre-tokens are visited as a trie in depth-first order: the forward scores of a prefix are computed
 once and stand for all pre-tokens below it, and each terminal stores its number of tokens.
 
-Null and empty texts have 0 tokens. Repeated rows are counted each. Only doc_id and text are read.
+The pieces' scores follow from their ranks in the vocabulary file by Zipf's law: the file holds ranks and
+no probabilities, and tokenizers are not trained here.
+
+Null and empty texts have 0 tokens. Repeated rows are counted each. Only doc_id and text are read. A
+pre-token, however long, is one path of the trie, whose scores are the only thing kept of it. No rows
+in: no rows out.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, documents, slices
+from .common import CHUNK_BYTES, documents, slices, small_batches, tidy
 
 MARK = "▁"
 #: Score of a token that stands for a byte.
@@ -73,11 +78,21 @@ class TrieCounter:
         return [(len(words), sum(map(known.__getitem__, words))) for words in split]
 
 
+_counters: dict[str, TrieCounter] = {}
+
+
+def counter_of(path: str) -> TrieCounter:
+    """One counter for a worker process; what it remembers serves all tasks."""
+    if path not in _counters:
+        _counters[path] = TrieCounter(load_pieces(path))
+    return _counters[path]
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every row."""
 
     def run(batches):
-        counter = TrieCounter(load_pieces(path))
+        counter = counter_of(path)
         for batch in batches:
             out = []
             for _, texts in slices(batch, CHUNK_BYTES):
@@ -85,7 +100,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             counts = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
