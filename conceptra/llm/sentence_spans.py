@@ -1,16 +1,22 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut after runs of ``.``, ``!``, ``?`` or line breaks with the white space that follows. A
-run of consecutive sentences is a passage if it is at least ``MIN_SENTENCES`` and ``MIN_CHARS``
-characters long (or ``LONE_CHARS`` characters, be it a single sentence). Spans are the shortest passage
-that starts at each sentence and the shortest that ends at each: those inside a passage cover all of
-it, so what any longer repeat would remove, they remove. Spans are hashed (128 bits) and counted over all documents with map-side combination; of
-equal spans the first is that of the smallest (doc_id, position). Sentences that any other
-occurrence covers are removed, all others stay as they are.
-
-Null and empty texts have no spans and stay. Sentences are compared without surrounding white space.
-Repeated rows of one doc_id hold the same positions, so neither removes the other. A row without an id
-is left as it is and repeats nothing. Extra columns are not read. No rows in: no rows out.
+A sentence ends after marks such as ``.``, ``!`` and ``?`` that white space or the end of the text
+follows, after full-width marks, and at line breaks; the white space that follows belongs to it. A
+sentence of more than ``LONG_CHARS`` characters is cut further after commas, colons and semicolons, and
+what is still longer before the first word that starts beyond that length: a passage is then several
+pieces even where it has no sentence's end within. A run of consecutive pieces is a span if it has at
+least ``MIN_SENTENCES`` of them and ``MIN_CHARS`` characters. Of the spans of a text, the shortest that
+starts at each piece and the shortest that ends at each are hashed (128 bits): those inside a passage
+cover all of it, so what any longer repeat would remove, they remove. They are counted over all
+documents with map-side combination; of equal spans the first is that of the smallest (doc_id,
+position). Pieces that any other occurrence covers are removed, all others stay as they are.
+
+A text that holds no span, being of one piece or below ``MIN_CHARS`` characters, stays even where it
+repeats as a whole; that is for exact deduplication. Null and empty texts have no spans and stay.
+Pieces are compared without surrounding white space. Repeated rows of one doc_id hold the same positions,
+so neither removes the other. A row without an id is left as it is and repeats nothing. Extra columns are
+not read. A text is held whole by one worker, at some 100 bytes for each of its pieces. No rows in: no
+rows out.
 """
 
 from __future__ import annotations
@@ -24,31 +30,49 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, small_batches, tidy
 
 MIN_SENTENCES = 2
 MIN_CHARS = 120
-LONE_CHARS = 200
+LONG_CHARS = 160
 
 #: Fixed pattern: a sentence with its end marks and the white space after it, or what is left.
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+SENTENCE = re.compile(r"(?:[^.!?…。！？\n]++|[.!?…]++(?!\s|\Z))*+(?:[.!?…]++(?:\s++|\Z)|[。！？]++\s*+|\n\s*+)|.+", re.DOTALL)
+#: Fixed pattern: a clause with its mark and the white space after it.
+CLAUSE = re.compile(r"[^,;:]*[,;:]+\s*|[^,;:]+")
 
 
 def sentences(text: str) -> list[str]:
     """Pieces whose concatenation is the text."""
-    return SENTENCE.findall(text)
+    out = []
+    for s in SENTENCE.findall(text):
+        if len(s) <= LONG_CHARS:
+            if s:
+                out.append(s)
+            continue
+        for c in CLAUSE.findall(s):
+            at = 0
+            while len(c) - at > LONG_CHARS:
+                word = _WORD.search(c, at + LONG_CHARS)
+                if not word:
+                    break
+                out.append(c[at : word.end()])
+                at = word.end()
+            out.append(c[at:])
+    return [s for s in out if s]
+
+
+_WORD = re.compile(r"\s+")
 
 
 def spans(pieces: list[str]) -> list[tuple[int, int, bytes]]:
-    """(start, number of sentences, 16-byte hash) of every span."""
+    """(start, number of sentences, 16-byte hash) of the spans to compare."""
     bare = [p.strip() for p in pieces]
     own = [xxhash.xxh3_128_digest(b) for b in bare]
-    size = [len(b) for b in bare]
-    upto, n = [0, *accumulate(size)], len(bare)
+    upto, n = [0, *accumulate(map(len, bare))], len(bare)
 
     def enough(start: int, end: int) -> bool:
-        total = upto[end] - upto[start]
-        return end - start >= MIN_SENTENCES and total >= MIN_CHARS or total >= LONE_CHARS
+        return end - start >= MIN_SENTENCES and upto[end] - upto[start] >= MIN_CHARS
 
     found, end, start = {}, 0, 0
     for first in range(n):
@@ -88,7 +112,7 @@ def _span_rows(batches):
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_span_rows, SPAN_SCHEMA)
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(tidy(_span_rows), SPAN_SCHEMA)
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -122,10 +146,11 @@ def _apply(batches):
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_chars_removed and what is left of the text, for every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = cut(span_table(docs))
     lists = repeated(found).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    return docs.join(lists, "doc_id", "left").mapInArrow(_apply, RESULT_SCHEMA)
+    return docs.join(lists, "doc_id", "left").mapInArrow(tidy(_apply), RESULT_SCHEMA)
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
