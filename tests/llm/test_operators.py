@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conceptra.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, registry, repeats, sentence_spans, sharding, token_counts
-from conceptra.llm.common import components, cut, word_hashes
+from conceptra.llm.common import components, cut, sample_share, word_hashes
 from conceptra.llm.words import word_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, keys string, n long"
@@ -185,15 +185,60 @@ def test_language_id_odd(spark, documents):
     assert language_id.keep_known(frame(spark, ODD)).count() == 7
 
 
-def test_filters_hold_all_that_was_put_in():
+@pytest.mark.parametrize("languages", [3, 64, 65, 150])
+def test_filters_hold_all_that_was_put_in(languages):
     rng = np.random.default_rng(0)
-    own = {name: rng.integers(0, 2**62, 3000).astype(np.uint64) for name in ("a", "b", "c")}
+    own = {f"l{i:03d}": rng.integers(0, 2**62, 3000).astype(np.uint64) for i in range(languages)}
     f = language_id.Filters(own)
-    for i, name in enumerate(f.languages):
-        assert (f.masks(own[name]) >> np.uint64(i) & np.uint64(1)).all()
     strange = f.masks(rng.integers(0, 2**62, 20000).astype(np.uint64))
-    for i in range(3):
-        assert abs((strange >> np.uint64(i) & np.uint64(1)).mean() - f.false_rate[i]) < 0.002
+    for i, name in enumerate(f.languages):
+        bit = lambda masks: masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)  # noqa: E731, B023
+        assert bit(f.masks(own[name])).all()
+        assert abs(bit(strange).mean() - f.false_rate[i]) < 0.002
+
+
+def plain_trigrams(text):
+    text = text.lower()
+    return [tuple(c if c.isalpha() else "" for c in (text[i - 1 : i], text[i], text[i + 1 : i + 2])) for i in range(len(text)) if text[i].isalpha()] if not text[:1].isalpha() else plain_trigrams(" " + text)
+
+
+def test_language_id_decides_as_exact_sets_do(spark, documents):
+    """The same rule with sets of trigrams in place of filters."""
+    counts, sizes = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    rows = documents.collect()
+    for r in rows:
+        if r.lang is not None and r.text and zlib.crc32(str(r.doc_id).encode()) % 5:
+            for g in plain_trigrams(r.text):
+                counts[g][r.lang] += 1
+    counts = {g: {lang: n for lang, n in own.items() if n >= language_id.MIN_COUNT} for g, own in counts.items()}
+    for own in counts.values():
+        for lang, n in own.items():
+            sizes[lang] += n
+    sets = defaultdict(set)
+    for g, own in counts.items():
+        most = max((n / sizes[lang] for lang, n in own.items()), default=0)
+        for lang, n in own.items():
+            if n / sizes[lang] >= language_id.RELATIVE * most:
+                sets[lang].add(g)
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(documents, language_id.learn(documents.filter(~language_id.held_out()))).collect()}
+    agreed = []
+    for r in rows:
+        grams = plain_trigrams(r.text or "")
+        best = max(sorted(sets), key=lambda lang: sum(g in sets[lang] for g in grams)) if grams else "und"
+        agreed.append(best == found[r.doc_id])
+    assert np.mean(agreed) >= 0.99
+
+
+def test_language_id_of_long_texts_and_rare_letters(spark, documents, monkeypatch):
+    filters = language_id.learn(documents)
+    texts = [r.text for r in documents.limit(40).collect() if r.text] + ["\U00030001\U00030002"]
+    whole = filters.decide(texts)
+    monkeypatch.setattr(language_id, "PART", 50)
+    assert filters.decide(texts) == whole and whole[0][-1] != "und"
+
+
+def test_samples_are_never_empty():
+    assert sample_share(20_000, 10**15) >= 1 and sample_share(5, 3) == 1 << 62
 
 
 # 3: sharding
@@ -217,9 +262,35 @@ def test_bad_tables(args):
         sharding.fill(*args)
 
 
+def plain_table(names, size):
+    """Each shard in turn takes the first slot of its own order that is free."""
+    orders = []
+    for name in names:
+        digest = hashlib.sha256(name.encode()).digest()
+        start, step = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:16], "big") % (size - 1) + 1
+        orders.append(iter([(start + k * step) % size for k in range(size)]))
+    table = {}
+    while len(table) < size:
+        for i, order in enumerate(orders):
+            if len(table) < size:
+                table[next(slot for slot in order if slot not in table)] = i
+    return [table[i] for i in range(size)]
+
+
+def test_own_columns_of_the_same_names(spark, tmp_path):
+    docs = frame(spark, ODD).selectExpr("doc_id", "text", "'mine' as slot", "doc_id as shard", "7 as salt")
+    placed = sharding.place(docs, "doc_id", ["a", "b"], 7)
+    assert placed.columns == ["doc_id", "text", "salt", "slot", "shard"] and {r.shard for r in placed.collect()} <= {"a", "b"}
+    sharding.write(docs, "doc_id", str(tmp_path / "own"), ["a", "b"], 7)
+    back = spark.read.parquet(str(tmp_path / "own"))
+    assert {r.slot for r in back.collect()} == {"mine"} and {r.salt for r in back.collect()} == {7} and back.count() == len(ODD)
+    assert sharding.place(docs.limit(0), "doc_id", ["a"], 7).count() == 0
+
+
 def test_placement(spark, sf, tmp_path):
     rows = registry.queries()["op3_sharding"](spark, sf).collect()
-    table = sharding.fill(list(sharding.SHARDS))
+    assert plain_table(["x", "y", "z"], 1009) == sharding.fill(["x", "y", "z"], 1009)
+    table = plain_table(list(sharding.SHARDS)[:128], sharding.TABLE_SIZE)
     for r in rows:
         slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
         assert (r.slot, r.shard) == (slot, sharding.SHARDS[table[slot]])
@@ -295,6 +366,34 @@ def test_mix_as_texts(spark, documents):
     assert mixing.materialize(frame(spark, ODD)).columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+def test_positions_follow_the_demand(spark):
+    """Against numerical integrals of the schedules: a source that is taken three times follows its schedule once."""
+    texts = ["w " * 10] * 30 + ["w " * 20] * 200 + ["w " * 30] * 40
+    df = frame(spark, texts).withColumn("source", F.expr("case when doc_id < 30 then 'a' when doc_id < 230 then 'b' else 'c' end"))
+    t = (np.arange(200_000) + 0.5) / 200_000
+    own = mixing.shares(mixing.sized(df))
+    seen = defaultdict(list)
+    for r in own.select("source", "target", "source_size", "before", "taken", "size", mixing.occurrence(F.lit(1)).alias("p1"), mixing.occurrence(F.lit(2)).alias("p2"), mixing.occurrence(F.lit(3)).alias("p3")).collect():
+        slope = mixing.SLOPES["abc".index(r.source)]
+        demand = np.cumsum(1 - slope + 2 * slope * t) / 200_000
+        for k in range(-(-r.taken // r.size) if r.size else 0):
+            share = min(1, (k * r.source_size + r.before) / r.target)
+            assert abs((r.p1, r.p2, r.p3)[k] - np.searchsorted(demand, share) / 200_000) < 1e-4
+            seen[r.source].append((r.p1, r.p2, r.p3)[k])
+    assert max(seen["a"]) > 0.9 and np.mean(seen["a"]) < 0.47 and np.mean(seen["b"]) > 0.53
+
+
+def test_mix_as_texts_without_ids_and_with_repeated_rows(spark):
+    texts = ["one two three four"] * 60 + ["five six"] * 40
+    for df in (frame(spark, texts).withColumn("doc_id", F.lit(None).cast("long")), frame(spark, texts).withColumn("doc_id", F.pmod("doc_id", F.lit(3)))):
+        df = df.withColumn("source", F.when(F.length("text") > 10, "a").otherwise("b"))
+        taken = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        words = defaultdict(int)
+        for r in mixing.materialize(df).collect():
+            words[r.source] += len(r.text.split())
+        assert words == taken
+
+
 # 5: repeats
 
 
@@ -614,19 +713,24 @@ def test_exact_dedup(spark, sf):
 
 def test_exact_dedup_odd(spark):
     df = frame(spark, ODD)
-    index = exact_dedup.new_index(spark)
+    index = exact_dedup.new_index(spark, 10)
     got = {r.id: (r.keep_id, r.members) for r in exact_dedup.dedup(df, index).collect()}
     assert {i for i in got if got[i] == (2, 3)} == {0, 1, 2} and {i for i in got if got[i] == (10, 3)} == {5, 6, 10}
     assert exact_dedup.keep_first(df).count() == len(ODD) - 4 and exact_dedup.keep_first(df).columns == df.columns
-    assert exact_dedup.dedup(frame(spark, {}), exact_dedup.new_index(spark)).count() == 0
+    none = exact_dedup.new_index(spark, 0)
+    assert exact_dedup.dedup(frame(spark, {}), none).count() == 0
+    none.drop()
     index.drop()
 
 
 def test_index_persists_and_takes_new_data_only(spark):
-    index = exact_dedup.new_index(spark)
+    index = exact_dedup.new_index(spark, 10)
     exact_dedup.dedup(frame(spark, {1: "a b", 2: "c"}), index)
     again = {r.id: r.keep_id for r in exact_dedup.dedup(frame(spark, {7: "ab  ", 8: "d", 9: "d"}), index).collect()}
     assert again == {7: 1, 8: 8, 9: 8} and index.read().count() == 3
+    before = sorted(map(tuple, index.read().collect()), key=str)
+    index.compact()
+    assert sorted(map(tuple, index.read().collect()), key=str) == before and len(index.read().inputFiles()) <= index.buckets
     plan = exact_dedup.digests(frame(spark, {1: "a"})).join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     index.drop()
@@ -635,48 +739,107 @@ def test_index_persists_and_takes_new_data_only(spark):
 def test_exact_dedup_without_ids(spark):
     df = frame(spark, ["a", "a", "b"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(1)).cast("long"))
     assert sorted((str(r.doc_id), r.text) for r in exact_dedup.keep_first(df).collect()) == [("1", "a"), ("None", "b")]
+    low = frame(spark, {-(2**63): "z", 5: "z"})
+    assert {r.keep_id for r in exact_dedup.alone(exact_dedup.digests(low)).collect()} == {-(2**63)}
+
+
+def test_one_of_repeated_rows_stays(spark):
+    df = frame(spark, ["a", "b", "b", "c"]).union(frame(spark, ["a", "b", "b", "c"]))
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.keep_first(df).collect()) == [(0, "a"), (1, "b"), (3, "c")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 # 10: sentence spans
 
 
+def plain_pieces(text):
+    """The splitting rules, character by character."""
+    sentences_, start, i = [], 0, 0
+    while i < len(text):
+        c, ends = text[i], False
+        if c in ".!?…":
+            j = i
+            while j < len(text) and text[j] in ".!?…":
+                j += 1
+            ends, i = j == len(text) or text[j].isspace(), j
+        elif c in "。！？":
+            while i < len(text) and text[i] in "。！？":
+                i += 1
+            ends = True
+        elif c == "\n":
+            ends = True
+        else:
+            i += 1
+        if ends:
+            while i < len(text) and text[i].isspace():
+                i += 1
+            sentences_.append(text[start:i])
+            start = i
+    pieces = []
+    for sentence in [*sentences_, text[start:]]:
+        clauses = [sentence]
+        if len(sentence) > 160:
+            clauses, at = [], 0
+            for i, c in enumerate(sentence):
+                if c in ",;:" and (i + 1 == len(sentence) or sentence[i + 1] not in ",;:"):
+                    i += 1
+                    while i < len(sentence) and sentence[i].isspace():
+                        i += 1
+                    clauses.append(sentence[at:i])
+                    at = i
+            clauses.append(sentence[at:])
+        for clause in clauses:
+            while len(sentence) > 160 and len(clause) > 160:
+                i = 160
+                while i < len(clause) and not clause[i].isspace():
+                    i += 1
+                while i < len(clause) and clause[i].isspace():
+                    i += 1
+                pieces.append(clause[:i])
+                clause = clause[i:]
+            pieces.append(clause)
+    return [p for p in pieces if p]
+
+
+@given(st.lists(st.sampled_from([*"ab. .!?,;:\n…。！ ", "word ", "x" * 70, "3.14", "a b c d e f g h " * 9]), max_size=25).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_pieces(text):
+    assert sentence_spans.sentences(text) == plain_pieces(text) and "".join(plain_pieces(text)) == text
+
+
+def removed_by_all_runs(texts):
+    """What is left of the texts when every run of pieces, however long, is compared with every other."""
+    seen, left = {}, {}
+    for i, text in sorted(texts.items()):
+        own, gone = plain_pieces(text), set()
+        for a in range(len(own)):
+            for b in range(a + 2, len(own) + 1):
+                run = tuple(s.strip() for s in own[a:b])
+                if sum(map(len, run)) >= 120 and seen.setdefault(run, (i, a)) != (i, a):
+                    gone |= set(range(a, b))
+        left[i] = "".join(s for k, s in enumerate(own) if k not in gone)
+    return left
+
+
 def test_sentence_spans(spark):
     rng = random.Random(2)
     sentence = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(rng.randrange(4, 14))) + rng.choice([". ", "! ", "?\n"])
     passage = "".join(sentence() for _ in range(8))
     texts = {i: "".join(sentence() for _ in range(rng.randrange(12))) + (passage if i % 3 == 0 else "") + "".join(sentence() for _ in range(rng.randrange(5))) for i in range(60)}
-    seen, want = {}, {}
-    for i in sorted(texts):
-        pieces = sentence_spans.sentences(texts[i])
-        assert "".join(pieces) == texts[i]
-        gone = [False] * len(pieces)
-        for start, n, h in sentence_spans.spans(pieces):
-            if seen.setdefault(h, (i, start)) != (i, start):
-                gone[start : start + n] = [True] * n
-        want[i] = "".join(p for p, g in zip(pieces, gone) if not g)
+    want = removed_by_all_runs(texts)
     assert {r.doc_id: r.text for r in sentence_spans.dedup(frame(spark, texts)).collect()} == want
     assert sum(passage[100:300] in t for t in want.values()) == 1 and all(want[i] == texts[i] for i in texts if i % 3)
 
 
 def test_sentence_spans_remove_every_repeated_run(spark):
-    """Against all runs of sentences, however long."""
     rng = random.Random(8)
-    sentence = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(rng.choice([3, 8, 18]))) + ". "
+    sentence = lambda: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(rng.choice([3, 8, 18, 50]))) + rng.choice([". ", ", ", ". "])
     passages = [[sentence() for _ in range(6)] for _ in range(5)] + [["a" * 99 + ". ", "b" * 49 + ". ", "c" * 49 + ". "]]
     texts = {i: [sentence() for _ in range(rng.randrange(4))] + rng.choice(passages) + [sentence() for _ in range(rng.randrange(4))] + rng.choice(passages)[rng.randrange(3) :] for i in range(40)}
     texts |= {50: [sentence(), *passages[5], sentence()], 51: [sentence(), *passages[5], sentence()]}
-    seen, want = {}, {}
-    for i, own in sorted(texts.items()):
-        gone = set()
-        for a in range(len(own)):
-            for b in range(a + 1, len(own) + 1):
-                run = tuple(s.strip() for s in own[a:b])
-                total = sum(map(len, run))
-                if (b - a >= 2 and total >= 120 or total >= 200) and seen.setdefault(run, (i, a)) != (i, a):
-                    gone |= set(range(a, b))
-        want[i] = "".join(s for k, s in enumerate(own) if k not in gone)
-    got = {r.doc_id: r.text for r in sentence_spans.dedup(frame(spark, {i: "".join(own) for i, own in texts.items()})).collect()}
-    assert got == want and "c" * 49 not in got[51]
+    texts = {i: "".join(own) for i, own in texts.items()}
+    got = {r.doc_id: r.text for r in sentence_spans.dedup(frame(spark, texts)).collect()}
+    assert got == removed_by_all_runs(texts) and "c" * 49 not in got[51]
 
 
 def test_sentence_spans_odd(spark):
