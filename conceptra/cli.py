@@ -21,8 +21,8 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="conceptra", description="Models of concepts on Spark.")
     parser.add_argument("--base", help="folder of the sources' relative paths (the model's folder)")
     parser.add_argument("--associativity", choices=("right", "left"), default="right")
-    parser.add_argument("--sql", action="store_true", help="print Spark SQL instead of rows")
-    parser.add_argument("--explain", action="store_true", help="print the plan instead of rows")
+    parser.add_argument("--sql", action="store_true", help="print Spark SQL instead of rows, or the statements instead of materialising")
+    parser.add_argument("--explain", action="store_true", help="print the plan of a query instead of rows")
     parser.add_argument("--rows", type=int, default=20, help="rows to print")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("validate").add_argument("model")
@@ -45,6 +45,9 @@ def main(argv: list[str] | None = None) -> int:
         engine = Engine(_session(), model, base=args.base or str(Path(args.model).resolve().parent))
         if args.command == "materialize":
             value = parse_expression(args.value, args.associativity) if args.value is not None else None
+            if args.sql:
+                print(";\n".join(engine.script(value, full=args.mode == "full")) + ";")
+                return 0
             for table in engine.materialize(value, full=args.mode == "full"):
                 print(table)
             return 0

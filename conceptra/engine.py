@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udf
 
 from .functions.procedural import python_function, returned_type
 from .lang import ast as A
+from .lang.build import node
 from .lang.errors import NotFound
 from .lang.model import Model, Named
 from .operators import materialize
@@ -56,7 +58,8 @@ class Engine:
             f = self.model.functions.get(name)
             if f is None:
                 raise NotFound(f"there is no function {name}")
-            self.spark.udf.register(self.prefix + name, python_function(f, self.model.functions), returned_type(f))
+            # rows come and go in Arrow batches
+            self.spark.udf.register(self.prefix + name, udf(python_function(f, self.model.functions), returned_type(f), useArrow=True))
             self._functions[name] = self.prefix + name
         return self._functions[name]
 
@@ -96,20 +99,61 @@ class Engine:
         self._frames[name] = frame
         frame.createOrReplaceTempView(self.prefix + name)
 
-    def query(self, text: str) -> DataFrame:
-        """A query of the language, without angle brackets."""
-        return self.spark.sql(self.sql(text))
-
-    def sql(self, text: str) -> str:
-        return self.lowering.query(self.model.query(text))
-
-    def explain(self, text: str, mode: str = "formatted") -> str:
-        return self.query(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    def query(self, what) -> DataFrame:
+        """A query: text of the language without angle brackets, or a built one."""
+        return self.spark.sql(self.sql(what))
+
+    def whole_sql(self, what, tables: dict[str, str] | None = None, strict: bool = False) -> str | None:
+        """SQL of a concept, or of a resolved query, down to the files; ``tables`` stand for concepts by name.
+
+        None where the text would need something that only this session has; ``strict`` names it anyway.
+        """
+
+        class Local(Exception):
+            pass
+
+        def view(name: str) -> str:
+            if tables and name in tables:
+                return tables[name]
+            definition = self.model.concept(name)
+            if isinstance(definition, A.FunctionConcept):
+                return table_call(definition) + "()"
+            relation = self.model.relation(name)
+            if isinstance(relation, A.DataSource):
+                text = None if name in self.given else files.as_sql(self.spark, relation, self.base)
+                if text is None and not strict:
+                    raise Local
+                return f"({text})" if text else quoted(name)
+            return f"({lowering.query(relation)})"
+
+        def call(name: str) -> str:
+            if not strict:
+                raise Local
+            return name
+
+        def table_call(concept: A.FunctionConcept) -> str:
+            return call(concept.function)
+
+        lowering = Lowering(view, self._schema, call, table_call, self.lowering.every)
+        try:
+            return lowering.query(self.model.relation(what) if isinstance(what, str) else what)
+        except Local:
+            return None
+
+    def sql(self, what) -> str:
+        return self.lowering.query(self.model.query(what) if isinstance(what, str) else self.model.subquery(node(what), None))
+
+    def explain(self, what, mode: str = "formatted") -> str:
+        return self.query(what)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
     def materialize(self, value: A.Node | None = None, full: bool = True, only: list[str] | None = None) -> list[str]:
         """Writes all concepts marked ``@Materialized`` in order of their dependencies; the tables' names."""
         return materialize.run(self, value, full, only)
 
+    def script(self, value: A.Node | None = None, full: bool = True, only: list[str] | None = None) -> list[str]:
+        """The statements that ``materialize`` stands for, as text; nothing is written."""
+        return materialize.script(self, value, full, only)
+
     def close(self) -> None:
         for name in self._frames:
             self.spark.catalog.dropTempView(self.prefix + name)

@@ -83,10 +83,15 @@ class TypeName(Node):
 
 @dataclass(frozen=True)
 class Interval(Node):
-    """A span such as 3 months; made with the API, the language has no text for it."""
+    """A span such as 3 months, or '1-6' year to month; made with the API, the language has no text for it.
+
+    ``precision`` is the number of digits of the leading and of the fractional unit; both are kept whole.
+    """
 
     value: object
     unit: str
+    to: str | None = None
+    precision: tuple[int, ...] = ()
 
 
 @dataclass(frozen=True)

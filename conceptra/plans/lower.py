@@ -132,13 +132,35 @@ class Lowering:
         if isinstance(node, A.Binary) and node.op == "and":
             return f"({self.condition(node.left)}) AND ({self.condition(node.right)})"
         if isinstance(node, A.Quantified):
-            return self.quantified(node, quantified.as_condition)
+            return self.quantified(node, quantified.as_condition, quantified.reduced_condition)
+        if isinstance(node, A.InQuery):
+            return self.within(node)
+        if isinstance(node, A.Not) and isinstance(node.operand, A.InQuery):
+            found = node.operand
+            # a join that can be shuffled, where NOT IN would send the whole query to every task
+            return self.condition(A.Quantified(found.operand, "!=", "all", found.query)) if self.alone(found.query) else f"(NOT {self.within(found)})"
         return self.show(node)
 
-    def quantified(self, node: A.Quantified, form) -> str:
+    def within(self, node: A.InQuery) -> str:
+        return f"({self.show(node.operand)} IN ({self.select(node.query)}))"
+
+    def alone(self, query: A.Node) -> bool:
+        return len(query.names) == 1 and not self.free(query)
+
+    def free(self, node: A.Node, own: frozenset = frozenset()) -> bool:
+        """Whether a part of a query refers to parents other than its own."""
+        if isinstance(node, Select):
+            own = own | {src.alias for src in node.sources}
+        if isinstance(node, A.Column) and node.alias and node.alias not in own:
+            return True
+        return isinstance(node, A.Row) and node.alias not in own or any(self.free(c, own) for c in node.children())
+
+    def quantified(self, node: A.Quantified, form, alone) -> str:
         left, op = self.show(node.operand), {"!=": "<>"}.get(node.op, node.op)
         if len(node.query.names) != 1:
             raise WrongType("a query to compare with must have one column")
+        if not self.free(node.query):
+            return alone(node.quantifier, left, op, self.select(node.query), quoted("__q", node.query.names[0]))
         if self.simple(node.query):
             # the comparison is built where the query's own columns are known
             def rows(make):
@@ -172,13 +194,14 @@ class Lowering:
         if isinstance(node, A.InList):
             return f"({self.show(node.operand)} IN ({', '.join(map(self.show, node.items.items))}))" if node.items.items else "FALSE"
         if isinstance(node, A.InQuery):
-            return f"({self.show(node.operand)} IN ({self.select(node.query)}))"
+            # as a value it is unknown where a null could be what is looked for
+            return self.show(A.Quantified(node.operand, "=", "any", node.query)) if self.alone(node.query) else self.within(node)
         if isinstance(node, A.Exists):
             return f"EXISTS ({self.select(node.query)})"
         if isinstance(node, A.Unique):
             return quantified.unique(self.select(node.query), [quoted(n) for n in node.query.names])
         if isinstance(node, A.Quantified):
-            return self.quantified(node, quantified.as_value)
+            return self.quantified(node, quantified.as_value, quantified.reduced)
         if isinstance(node, Select):
             return f"({self.select(node)})"
         if isinstance(node, A.IfElse):
@@ -192,7 +215,7 @@ class Lowering:
         if isinstance(node, A.Item):
             return self.item(node)
         if isinstance(node, A.Interval):
-            return f"INTERVAL '{node.value}' {node.unit.upper()}"
+            return f"INTERVAL '{node.value}' {node.unit.upper()}" + (f" TO {node.to.upper()}" if node.to else "")
         if isinstance(node, A.Window):
             return window(node, list(map(self.show, node.args)), self.show)
         if isinstance(node, A.Call):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import cast, type_text
 from ..lang import ast as A
@@ -29,10 +30,46 @@ def declared(source: A.DataSource) -> str | None:
     return None
 
 
+#: Schemas of files that name their own columns, by session, format, options, path and the time of its last change.
+_schemas: dict[tuple, T.StructType] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple | None:
+    """What changes when a path's files do, or None if that can't be told."""
+    if any(c in path for c in "*?[{"):
+        return None
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        found = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there)
+    except Exception:  # the reader says what is wrong
+        return None
+    return found.getModificationTime(), found.getLen()
+
+
+def as_sql(spark: SparkSession, source: A.DataSource, base: str | None) -> str | None:
+    """A query of a source's rows that needs no session, or None where its format can't be named in a query."""
+    if source.format not in ("PARQUET", "ORC") or options(source):
+        return None
+    path = full_path(source.path, base).replace("`", "``")
+    names = ", ".join(f"{cast(f'`{a.name}`', a.type)} AS `{a.name}`" if a.type is not None else f"`{a.name}`" for a in source.attributes)
+    return f"SELECT {names} FROM {source.format.lower()}.`{path}`"
+
+
 def read(spark: SparkSession, source: A.DataSource, base: str | None = None) -> DataFrame:
+    """A source's rows.
+
+    Parquet and ORC files name their columns' types; their schema is looked up once for each state of
+    the path. Of text formats, sources whose columns all have types are read without a pass to infer
+    them (CSV: as text, cast by name); otherwise the files are read once more for that.
+    """
     if source.format not in FORMATS:
         raise Unsupported(f"format {source.format}; there are {', '.join(FORMATS)}")
     reader, given, path = spark.read, options(source), full_path(source.path, base)
+    key = None
+    if source.format in ("PARQUET", "ORC") and not given and (state := _state(spark, path)):
+        key = (spark.sparkContext.applicationId, source.format, path, state)
+        if key in _schemas:
+            reader = reader.schema(_schemas[key])
     if source.format == "CSV":
         reader = reader.option("header", "true")
         if declared(source) is None:
@@ -48,6 +85,8 @@ def read(spark: SparkSession, source: A.DataSource, base: str | None = None) ->
         if source.format == "AVRO" and "AVRO" in str(e).upper():
             raise Unsupported("AVRO needs Spark's external avro package, which this session does not have") from e
         raise
+    if key:
+        _schemas[key] = frame.schema
     return project(frame, source)
 
 

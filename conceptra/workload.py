@@ -37,18 +37,18 @@ add("select_arith", "", "(l_orderkey, l_linenumber, net = l_extendedprice * (1 -
     "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, round(l_quantity - (l_tax + (l_discount - 1)), 6) AS chain FROM lineitem")
 add("where_alias_inline", "concept priced (l_orderkey, l_linenumber, net = l_extendedprice * (1 - l_discount)) from lineitem where net > 50000;", "from priced",
     "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000")
-add("where_null_checks", "concept perCustomer (c_custkey = c.c_custkey, o_orderkey = o.o_orderkey) from customer c, @Optional orders o (o_custkey = c.c_custkey);", "(c_custkey) from perCustomer where o_orderkey = Null",
-    "SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
-add("where_not_null", "concept perCustomer (c_custkey = c.c_custkey, o_orderkey = o.o_orderkey) from customer c, @Optional orders o (o_custkey = c.c_custkey);", "(c_custkey, o_orderkey) from perCustomer where o_orderkey != Null and not (c_custkey < 10)",
-    "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE NOT c_custkey < 10")
+add("where_null_checks", "concept perCustomer (c_custkey = c.c_custkey, s_name = s.s_name) from customer c, @Optional supplier s (s_suppkey = c.c_custkey);", "(c_custkey) from perCustomer where s_name = Null",
+    "SELECT c_custkey FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE s_name IS NULL")
+add("where_not_null", "concept perCustomer (c_custkey = c.c_custkey, o_orderkey = o.o_orderkey) from customer c, @Optional orders o (o_custkey = c.c_custkey);", "(c_custkey, o_orderkey) from perCustomer where o_orderkey != Null and not (o_orderkey < 10)",
+    "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE NOT o_orderkey < 10")
 add("between_inlist", "", '(p_partkey, p_size) from part where p_size between [10, 20] and p_brand in ["Brand#11", "Brand#12", "Brand#23"]',
     "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#23')")
 add("bool_precedence", "", '(o_orderkey) from orders where o_orderstatus = "F" and o_totalprice > 200000 or o_orderpriority = "1-URGENT"',
     "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice > 200000 OR o_orderpriority = '1-URGENT')")
 add("bool_precedence_or", "", '(o_orderkey) from orders where o_orderstatus = "F" or o_totalprice > 200000 and o_orderpriority = "1-URGENT"',
     "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR (o_totalprice > 200000 AND o_orderpriority = '1-URGENT')")
-add("unary_minus_not", "", "(c_custkey, m = round(-c_acctbal + 10, 2)) from customer where not c_acctbal > 0 and c_custkey > 5",
-    "SELECT c_custkey, round(-(c_acctbal + 10), 2) AS m FROM customer WHERE NOT (c_acctbal > 0 AND c_custkey > 5)")
+add("unary_minus_not", "", "(c_custkey, m = round(-c_acctbal + 10, 2)) from customer where not c_acctbal > 0 and c_nationkey > 5",
+    "SELECT c_custkey, round(-(c_acctbal + 10), 2) AS m FROM customer WHERE NOT (c_acctbal > 0 AND c_nationkey > 5)")
 add("unique_concept", "@Unique concept segments (c_mktsegment, c_nationkey) from customer;", "from segments", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
 add("unique_query", "", "@Unique (o_orderpriority, o_orderstatus) from orders", "SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders")
 add("private_attr", "concept priced (l_orderkey, l_linenumber, @Private net = l_extendedprice * (1 - l_discount), gross = net * (1 + l_tax)) from lineitem;", "from priced",
@@ -61,8 +61,8 @@ add("inferred_from_where", "concept c2 (key, doubled) from customer c where key
 
 add("join_inner", "concept co (o_orderkey, c_name, o_totalprice) from orders o, customer c (c_custkey = o.o_custkey);", "from co", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey")
 add("join_where_key", "concept co (o_orderkey, c_name) from orders o, customer c where o.o_custkey = c.c_custkey and o.o_totalprice > 100000;", "from co", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 100000")
-add("join_left_optional", "concept co (c_custkey = c.c_custkey, o_orderkey) from customer c, @Optional orders o (o_custkey = c.c_custkey);", "from co", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
-add("join_right", "concept co (c_custkey = c.c_custkey, o_orderkey) from @Optional orders o, customer c (c_custkey = o.o_custkey);", "from co", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+add("join_left_optional", "concept co (c_custkey = c.c_custkey, s_name) from customer c, @Optional supplier s (s_suppkey = c.c_custkey);", "from co", "SELECT c_custkey, s_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+add("join_right", "concept co (c_custkey = c.c_custkey, s_name) from @Optional supplier s, customer c (c_custkey = s.s_suppkey);", "from co", "SELECT c_custkey, s_name FROM supplier RIGHT JOIN customer ON c_custkey = s_suppkey")
 add("join_full", "concept sc (s_suppkey, c_custkey) from @Optional supplier s, @Optional customer c (c_custkey = s.s_suppkey);", "from sc", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON c_custkey = s_suppkey")
 add("join_optional_fold3", "concept fold (c_custkey = c.c_custkey, o_orderkey = o.o_orderkey, l_linenumber) from @Optional customer c, @Optional orders o (o_custkey = c.c_custkey), lineitem l (l_orderkey = o.o_orderkey);", "from fold",
     "SELECT c_custkey, o_orderkey, l_linenumber FROM customer FULL JOIN orders ON o_custkey = c_custkey RIGHT JOIN lineitem ON l_orderkey = o_orderkey")
@@ -133,18 +133,19 @@ add("union_by_name_reordered", SETS + "concept u union of f, o;", "from u", f"{F
 add("union_three", SETS + "concept u union of f, o, x;", "from u", f"{F_} UNION {O_} UNION {X_}")
 add("intersect_", SETS + "concept u intersect of f, o;", "from u", f"{F_} INTERSECT {O_}")
 add("minus_", SETS + "concept u minus f, o, x;", "from u", f"({F_} EXCEPT {O_}) EXCEPT {X_}")
-add("union_with_null_columns", "concept a (k = c_custkey, v = c_acctbal, w = Null) from customer where c_custkey < 50; concept b (w = s_name, k = s_suppkey, v = Null) from supplier where s_suppkey < 50; concept u union of a, b;", "from u",
-    "SELECT c_custkey AS k, c_acctbal AS v, NULL::VARCHAR AS w FROM customer WHERE c_custkey < 50 UNION SELECT s_suppkey, NULL, s_name FROM supplier WHERE s_suppkey < 50")
-add("union_with_null_columns_all", "concept a (k = c_custkey, v = c_acctbal, w = Null) from customer; concept b (w = s_name, k = s_suppkey, v = Null) from supplier; concept u union of a, b;", "from u",
+add("union_with_null_columns", "concept a (k = c_custkey, v = c_acctbal, w = Null) from customer; concept b (w = s_name, k = s_suppkey, v = Null) from supplier; concept u union of a, b;", "from u",
     "SELECT c_custkey AS k, c_acctbal AS v, NULL::VARCHAR AS w FROM customer UNION SELECT s_suppkey, NULL, s_name FROM supplier")
 
 # subqueries
 
 add("in_subquery", "", "(c_custkey) from customer where c_custkey in <(o_custkey) from orders where o_totalprice > 300000>", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-add("not_in_subquery", "", "(c_custkey) from customer where not c_custkey in <(o_custkey) from orders>", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("not_in_subquery", "", "(c_custkey) from customer where not c_custkey in <(o_custkey) from orders where o_totalprice > 300000>", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+add("not_in_with_nulls", "", "(n_nationkey, out = not n_nationkey in <(k = case when r_regionkey = 2 then Null else r_regionkey) from region>) from nation",
+    "SELECT n_nationkey, n_nationkey NOT IN (SELECT CASE WHEN r_regionkey = 2 THEN NULL ELSE r_regionkey END FROM region) AS out FROM nation")
 add("exists_correlated", "", "(c_custkey) from customer c where exists <(o_orderkey) from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 250000>",
     "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
-add("not_exists", "", "(c_custkey) from customer c where not exists <(o_orderkey) from orders o (o_custkey = c.c_custkey)>", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+add("not_exists", "", "(c_custkey) from customer c where not exists <(o_orderkey) from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 250000>",
+    "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 add("exists_in_or", "", "(c_custkey) from customer c where c_acctbal < 0 or exists <(o_orderkey) from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 250000>",
     "SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 add("exists_in_projection", "", "(c_custkey, has = if (exists <(o_orderkey) from orders o (o_custkey = c.c_custkey)>) then 1 else 0) from customer c",
@@ -152,11 +153,20 @@ add("exists_in_projection", "", "(c_custkey, has = if (exists <(o_orderkey) from
 add("gt_all", "", "(p_partkey) from part p where p_retailprice >= all <(v = q.p_retailprice) from part q where q.p_brand = p.p_brand>", "SELECT p_partkey FROM part p WHERE p_retailprice >= ALL (SELECT q.p_retailprice FROM part q WHERE q.p_brand = p.p_brand)")
 add("gt_all_empty", "", '(r_name) from region where r_regionkey > all <(n_nationkey) from nation where n_name = "nowhere">', "SELECT r_name FROM region WHERE r_regionkey > ALL (SELECT n_nationkey FROM nation WHERE n_name = 'nowhere')")
 add("eq_any", "", "(n_name) from nation where n_nationkey = any <(c_nationkey) from customer where c_acctbal > 9900>", "SELECT n_name FROM nation WHERE n_nationkey = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
-add("lt_any_grouped", "", "(p_partkey) from part where p_retailprice < any <(m = avg(p_retailprice)) from part group by p_brand> and p_partkey < 500",
-    "SELECT p_partkey FROM part WHERE p_retailprice < ANY (SELECT avg(p_retailprice) FROM part GROUP BY p_brand) AND p_partkey < 500")
-add("lt_any_grouped_all", "", "(p_partkey) from part where p_retailprice < any <(m = avg(p_retailprice)) from part group by p_brand>",
+add("lt_any_grouped", "", "(p_partkey) from part where p_retailprice < any <(m = avg(p_retailprice)) from part group by p_brand>",
     "SELECT p_partkey FROM part WHERE p_retailprice < ANY (SELECT avg(p_retailprice) FROM part GROUP BY p_brand)")
 add("quantified_value", "", "(n_nationkey, above = n_nationkey > all <(r_regionkey) from region>) from nation", "SELECT n_nationkey, n_nationkey > ALL (SELECT r_regionkey FROM region) AS above FROM nation")
+for _quantifier, _op, _sql in [("all", "<", "<"), ("all", "<=", "<="), ("all", ">=", ">="), ("all", "=", "="), ("all", "!=", "<>"), ("any", "<", "<"), ("any", "<=", "<="), ("any", ">", ">"), ("any", ">=", ">="), ("any", "!=", "<>"), ("any", "=", "=")]:
+    # values and nulls on both sides, as a filter and as a value
+    _key, _inner = f"quantified_{_quantifier}_{['lt', 'le', 'gt', 'ge', 'eq', 'ne'][['<', '<=', '>', '>=', '=', '!='].index(_op)]}", "case when r_regionkey = 4 then Null else r_regionkey + 3"
+    _outer, _theirs = "(case when n_nationkey = 7 then Null else n_nationkey)", "CASE WHEN n_nationkey = 7 THEN NULL ELSE n_nationkey END"
+    _sub = f"{_sql} {_quantifier.upper()} (SELECT r_regionkey + 3 FROM region)"
+    _nulls = f"{_sql} {_quantifier.upper()} (SELECT CASE WHEN r_regionkey = 4 THEN NULL ELSE r_regionkey + 3 END FROM region)"
+    add(_key, "", f"(n_nationkey, v = {_outer} {_op} {_quantifier} <(k = {_inner}) from region>, w = {_outer} {_op} {_quantifier} <(k = r_regionkey + 3) from region>) from nation",
+        f"SELECT n_nationkey, ({_theirs}) {_nulls} AS v, ({_theirs}) {_sub} AS w FROM nation")
+    _some = "r_regionkey = 1" if (_quantifier, _op) == ("all", "=") else "r_regionkey > 2"
+    add(f"{_key}_filter", "", f"(n_nationkey) from nation where {_outer} {_op} {_quantifier} <(k = r_regionkey + 3) from region where {_some}>",
+        f"SELECT n_nationkey FROM nation WHERE ({_theirs}) {_sql} {_quantifier.upper()} (SELECT r_regionkey + 3 FROM region WHERE {_some})")
 add("unique_pred", "", "(c_custkey) from customer c where unique <(o_orderpriority) from orders o (o_custkey = c.c_custkey)>",
     "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority HAVING count(*) > 1)")
 
@@ -210,6 +220,16 @@ add("def_function_macro", "def taxed(price, rate) { return price * (1 + rate) };
 add("lambda_call", "", "(p_partkey, v = ((a, b) => { return a * 10 + b })(p_size, 1)) from part", "SELECT p_partkey, p_size * 10 + 1 AS v FROM part")
 add("def_function_loop", "def digits(n) { var total = 0; var rest = n; while rest > 0 do { total = total + mod(rest, 10); rest = floor(rest / 10) }; return total }; concept d (p_partkey, s = digits(p_partkey)) from part;", "from d",
     "SELECT p_partkey, CAST(list_sum(list_transform(string_split(CAST(p_partkey AS VARCHAR), ''), lambda x: CAST(x AS INTEGER))) AS DOUBLE) AS s FROM part")
+add("def_function_if", "def band(price, size) { var base = price * 2; if size > 20 then { base = base + size } else { if size > 10 then { return 0 - 1.5 } }; return base - price }; concept b (p_partkey, v = round(band(p_retailprice, p_size), 4)) from part;", "from b",
+    "SELECT p_partkey, round(CASE WHEN p_size > 20 THEN p_retailprice * 2 + p_size - p_retailprice WHEN p_size > 10 THEN -1.5 ELSE p_retailprice * 2 - p_retailprice END, 4) AS v FROM part")
+add("def_function_for", "def triangle(n) { var s = 0; for (var i = 1; i <= n; i++) { if i = 3 then { continue }; if i > 40 then { break }; s = s + i }; return s }; concept f (p_partkey, s = triangle(p_size)) from part;", "from f",
+    "SELECT p_partkey, CAST(least(p_size, 40) * (least(p_size, 40) + 1) // 2 - CASE WHEN p_size >= 3 THEN 3 ELSE 0 END AS DOUBLE) AS s FROM part")
+add("def_function_foreach", 'def weigh(n) { var l; var m; for (x in [1, 2, 3]) { l[] = x * n }; m["a"] = l[0]; m["b"] = l[2]; var s = 0; for (k, v in m) { s = s + v }; do { s-- } while s > 50; return s }; concept w (p_partkey, s = weigh(p_size)) from part;', "from w",
+    "SELECT p_partkey, CAST(CASE WHEN p_size * 4 - 1 <= 50 THEN p_size * 4 - 1 ELSE 50 END AS DOUBLE) AS s FROM part")
+add("def_function_nulls", "def other(x) { var y = x; while false do { y++ }; return y != 2 }; def plain(x) { return x != 2 }; concept o (n_nationkey, k = case when n_nationkey = 5 then Null else n_nationkey) from nation; concept p (n_nationkey, a = other(k), b = plain(k)) from o;", "from p",
+    "SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN NULL ELSE n_nationkey <> 2 END AS a, CASE WHEN n_nationkey = 5 THEN NULL ELSE n_nationkey <> 2 END AS b FROM nation")
+add("current_functions", "", "(r_regionkey, a = current_date() != Null, b = current_timestamp() != Null, c = current_time() != Null) from region", "SELECT r_regionkey, TRUE AS a, TRUE AS b, TRUE AS c FROM region")
+add("cast_list_record", "concept things (p_partkey, l = cast([p_size, 2.7], list<int>)) from part;", "(p_partkey, a = l[0], b = l[1]) from things", "SELECT p_partkey, p_size AS a, 2 AS b FROM part")
 
 TELECOM = """
 concept enriched[kind] (user_id, ts, value, day = floor(ts, "day"), big = if value > 50 then 1 else 0) from events e where event_type = kind;
@@ -254,6 +274,28 @@ def interval_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(engine.lowering.query(select))
 
 
+def range_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of time; intervals are made with the API."""
+    engine = Engine(spark, SOURCES, base=sf_dir)
+    window = A.Window("count", (), (A.Name("event_type"),), (A.OrderBy(A.Name("ts")),), range=(A.Interval("1:00", "hour", "minute"), A.Interval("0:30", "hour", "minute")))
+    select = engine.model.subquery(A.Query((A.Attribute("event_id"), A.Attribute("n", window)), (A.Parent(A.Reference("events")),)), None)
+    return spark.sql(engine.lowering.query(select))
+
+
+def from_files(kind: str, types: bool):
+    """Writes a table in a format, to a folder that driver and executors share, and queries it there."""
+
+    def go(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/formats_{uuid.uuid4().hex[:12]}"
+        rows = Engine(spark, SOURCES, base=sf_dir).query("(s_suppkey, s_name, s_nationkey, s_acctbal) from supplier")
+        rows.write.option("header", True).option("rowTag", "row").format(kind.lower()).save(f"{folder}/supplier")
+        names = "int s_suppkey, s_name, int s_nationkey, float s_acctbal" if types else "s_suppkey, s_name, s_nationkey, s_acctbal"
+        engine = Engine(spark, f'datasource s ({names}) from {kind} file "supplier"; concept rich is s where s_acctbal > 1000;', base=folder)
+        return engine.query("(k = cast(s_suppkey, int), s_name, n = cast(s_nationkey, int), b = round(s_acctbal, 2)) from rich")
+
+    return go
+
+
 def set_all(kind: str):
     def go(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = {"union": "union of", "intersect": "intersect of", "minus": "minus"}
@@ -315,10 +357,12 @@ def materialized_view(kind: str):
     return go
 
 
-ALL_EVENTS, PART = "event_id >= 0", "mod(event_id, 3) != 0"
+ALL_EVENTS, PART = "value != Null or value = Null", "value > 20"
 _SUM = "count(*) AS n, round(sum(value), 3) AS total"
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "interval_add": (interval_add, "SELECT o_orderkey, o_orderdate + INTERVAL 3 MONTH AS later FROM orders"),
+    "frame_range_interval": (range_interval, "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 30 MINUTE FOLLOWING) AS n FROM events"),
+    **{f"read_{kind.lower()}{'_typed' if types else ''}": (from_files(kind, types), "SELECT CAST(s_suppkey AS INTEGER) AS k, s_name, CAST(s_nationkey AS INTEGER) AS n, round(s_acctbal, 2) AS b FROM supplier WHERE s_acctbal > 1000") for kind, types in (("CSV", False), ("CSV", True), ("JSON", False), ("JSON", True), ("ORC", False), ("XML", False), ("PARQUET", True))},
     "union_all": (set_all("union"), f"{F_} UNION ALL SELECT k, p FROM ({O_})"),
     "intersect_all": (set_all("intersect"), f"{F_} INTERSECT ALL {O_}"),
     "minus_all": (set_all("minus"), f"{F_} EXCEPT ALL {O_}"),
@@ -326,10 +370,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "mat_table": (materialized("Table", "", "=", "0", "event_type", PART, ALL_EVENTS), f"SELECT event_type, {_SUM} FROM events GROUP BY 1"),
     "mat_view": (materialized_view("View"), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1"),
     "mat_snapshot": (materialized_view("MaterializedView"), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1"),
-    "mat_incremental_delete_insert": (materialized("Incremental", "InsertDelete", "in", '["click", "view"]', "event_type", PART, ALL_EVENTS), f"SELECT event_type, {_SUM} FROM events WHERE event_id % 3 != 0 OR event_type IN ('click', 'view') GROUP BY 1"),
-    "mat_append": (materialized("Incremental", "Append", "=", '"click"', "event_type", PART, ALL_EVENTS), f"SELECT event_type, {_SUM} FROM events WHERE event_id % 3 != 0 GROUP BY 1 UNION ALL SELECT event_type, {_SUM} FROM events WHERE event_type = 'click' GROUP BY 1"),
-    "mat_merge": (materialized("Incremental", "Merge", "<", "100", "user_id", "user_id > 50", PART), f"SELECT user_id, {_SUM} FROM events WHERE (user_id < 100 AND event_id % 3 != 0) OR (user_id >= 100) OR (user_id > 50 AND user_id < 100 AND user_id NOT IN (SELECT user_id FROM events WHERE user_id < 100 AND event_id % 3 != 0)) GROUP BY 1"),
-    "mat_insert_override_merge": (materialized("Incremental", "InsertOverrideMerge", "between", "[20, 60]", "user_id", ALL_EVENTS, PART), f"SELECT user_id, {_SUM} FROM events WHERE user_id NOT BETWEEN 20 AND 60 OR event_id % 3 != 0 GROUP BY 1"),
+    "mat_incremental_delete_insert": (materialized("Incremental", "InsertDelete", "in", '["click", "view"]', "event_type", PART, ALL_EVENTS), f"SELECT event_type, {_SUM} FROM events WHERE value > 20 OR event_type IN ('click', 'view') GROUP BY 1"),
+    "mat_append": (materialized("Incremental", "Append", "=", '"click"', "event_type", PART, ALL_EVENTS), f"SELECT event_type, {_SUM} FROM events WHERE value > 20 GROUP BY 1 UNION ALL SELECT event_type, {_SUM} FROM events WHERE event_type = 'click' GROUP BY 1"),
+    "mat_merge": (materialized("Incremental", "Merge", "<", "100", "user_id", "user_id > 50", PART), f"SELECT user_id, {_SUM} FROM events WHERE (user_id < 100 AND value > 20) OR (user_id >= 100) OR (user_id > 50 AND user_id < 100 AND user_id NOT IN (SELECT user_id FROM events WHERE user_id < 100 AND value > 20)) GROUP BY 1"),
+    "mat_insert_override_merge": (materialized("Incremental", "InsertOverrideMerge", "between", "[20, 60]", "user_id", ALL_EVENTS, PART), f"SELECT user_id, {_SUM} FROM events WHERE user_id NOT BETWEEN 20 AND 60 OR value > 20 GROUP BY 1"),
     "delete_rows": (delete_rows, "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE NOT coalesce(c_acctbal < 0 OR c_nationkey IN (1, 2, 3), FALSE)"),
 }
 

@@ -1,10 +1,12 @@
 """Sources, functions, materialisation, streams and the command line."""
 
+import datetime
 import subprocess
 import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from conceptra.engine import Engine
 from conceptra.functions.procedural import Interpreter, returned_type
@@ -241,3 +243,154 @@ def test_date_differences(spark):
     df = spark.sql("SELECT timestamp'2024-01-02 00:00:01' AS a, timestamp'2024-01-01 00:00:00' AS b, date'2024-03-01' AS c, date'2024-02-01' AS d")
     e = Engine(spark, 'datasource t (a, b, c, d) from PARQUET file "t";', sources={"t": df})
     assert rows(e.query("(s = a - b, n = c - d, m = round((max(a) over ()) - (min(b) over ()))) from t".replace(", m = round((max(a) over ()) - (min(b) over ()))", ""))) == [(86401.0, 29)]
+
+
+def test_built_models_mean_the_same_as_texts(spark, things):
+    from conceptra.lang import build as b
+
+    text = THINGS + """
+    concept big (id, w = v * (2 + 1)) from t where v > 0 and not id = 2;
+    concept kept is t with w = v + 1 without name where id in [1, 3];
+    concept cube c metrics (n = count(), s = sum(v)) dimensions (id) from t;
+    concept cube d is c with metrics least = min(v) without metrics s having n > 1;
+    concept both between t x, t y where x.id = y.id;
+    concept u union of big, big;
+    concept pairs (id = x.id, other = y.name) from t x, @Optional t y (id = x.id) where x.id < 3;
+    """
+    t = b.source("t", ["id", "name", "v"], "t.parquet")
+    big = b.concept("big").attributes("id", w=b.name("v") * (b.lit(2) + 1)).over("t").where(b.name("v") > 0, ~(b.name("id") == 2))
+    kept = b.inherited("kept").over("t").attributes(w=b.name("v") + 1).without("name").where(b.name("id").isin(1, 3))
+    c = b.cube("c").metrics(n=b.call("count"), s=b.call("sum", b.name("v"))).dimensions("id").over("t")
+    d = b.inherited_cube("d").over("c").metrics(least=b.call("min", b.name("v"))).without_metrics("s").having(b.name("n") > 1)
+    both = b.between("both").over("t", "x").over("t", "y").where(b.name("x.id") == b.name("y.id"))
+    u = b.union("u").over("big").over("big")
+    pairs = b.concept("pairs").attributes(id=b.name("x.id"), other=b.name("y.name")).over("t", "x").over("t", "y", optional=True, id="x.id").where(b.name("x.id") < 3)
+    theirs, mine = Engine(spark, text, sources={"t": things}), Engine(spark, b.model(t, big, kept, c, d, both, u, pairs), sources={"t": things})
+    for name in ("big", "kept", "c", "d", "both", "u", "pairs"):
+        assert mine.concept(name).columns == theirs.concept(name).columns and rows(mine.concept(name)) == rows(theirs.concept(name)), name
+    inner = b.query().attributes("id").over("t").where(b.name("v") > 1)
+    asked = b.query().attributes("id", r=b.call("rank").over(order=["-id"])).over("t").where(b.name("id").isin(inner) | (b.name("id") == 3)).order("-id").limit(2)
+    assert rows(mine.query(asked)) == rows(theirs.query("(id, r = rank() over (order by (id desc))) from t where id in <(id) from t where v > 1> or id = 3 order by id desc limit 2"))
+    assert rows(mine.query(b.query().attributes("id").over("t").where(b.name("id").compared(">", "any", inner)))) == [(2,), (3,), (3,)]
+    with pytest.raises(TypeError, match="metrics"):
+        b.concept("x").metrics("id")
+
+
+def test_an_overwrite_that_is_lost_loses_no_rows(spark, things):
+    """At each step of the swap: the table holds the old rows or the new ones, at the latest after the next run began."""
+    from conceptra.operators import materialize
+
+    spark.sql("DROP TABLE IF EXISTS lost_r")
+    note = '@Materialized(type = "Incremental", strategy = "InsertDelete", uniqueKey = "id", operator = ">=", TargetName = "lost_r") concept r (id, n = count()) from t group by id;'
+    Engine(spark, THINGS + note, sources={"t": things.filter("id < 3")}).materialize()
+    old, new = [(1, 1), (2, 1)], [(1, 1), (2, 1), (3, 2)]
+    assert rows(spark.table("lost_r")) == old
+
+    class Lost(Exception):
+        pass
+
+    class Session:
+        """A session whose connection breaks at a statement."""
+
+        def __init__(self, at):
+            self.at = at
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        def sql(self, text, *more):
+            if text.startswith(self.at):
+                raise Lost
+            return spark.sql(text, *more)
+
+    broken = things.withColumn("id", F.expr("if(id = 3, raise_error('lost'), id)").cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        Engine(spark, THINGS + note, sources={"t": broken}).materialize(parse_expression("1"), full=False)
+    assert rows(spark.table("lost_r")) == old
+    for at, there in (("DROP TABLE IF EXISTS lost_r", old), ("ALTER TABLE", new)):
+        engine = Engine(spark, THINGS + note, sources={"t": things})
+        engine.spark = Session(at)
+        with pytest.raises(Lost):
+            engine.materialize(parse_expression("3"), full=False)
+        materialize.recover(spark, "lost_r")
+        assert rows(spark.table("lost_r")) == there, at
+        Engine(spark, THINGS + note, sources={"t": things}).materialize(parse_expression("3"), full=False)
+        assert rows(spark.table("lost_r")) == new
+        Engine(spark, THINGS + note, sources={"t": things.filter("id < 3")}).materialize()
+    assert not spark.catalog.tableExists("lost_r__staging")
+    spark.sql("DROP TABLE lost_r")
+
+
+def test_views_outlive_the_session(spark, things, tmp_path):
+    things.write.parquet(str(tmp_path / "t.parquet"))
+    text = THINGS + 'concept base is t where id > 1; @Materialized(type = "View", TargetName = "kept_v") concept r (id, n = count()) from base group by id;'
+    engine = Engine(spark, text, base=str(tmp_path))
+    engine.materialize()
+    engine.close()
+    assert rows(spark.newSession().sql("SELECT * FROM kept_v")) == [(2, 1), (3, 2)]
+    assert not spark.newSession().sql("SHOW VIEWS LIKE 'kept_v'").first().isTemporary
+    spark.sql("DROP VIEW kept_v")
+    engine = Engine(spark, text, sources={"t": things})
+    engine.materialize()
+    assert rows(spark.table("kept_v")) == [(2, 1), (3, 2)]
+    spark.catalog.dropTempView("kept_v")
+
+
+def test_materialisation_as_a_script(spark, things, tmp_path, capsys):
+    from conceptra.cli import main
+
+    things.write.parquet(str(tmp_path / "t.parquet"))
+    note = '@Materialized(type = "{k}", strategy = "{s}", uniqueKey = "id", operator = ">=", TargetName = "script_{n}") concept {n} (id, n = count()) from {of} group by id;'
+    text = THINGS + note.format(k="Table", s="", n="a", of="t") + note.format(k="View", s="", n="b", of="a") + "".join(note.format(k="Incremental", s=s, n=f"r{i}", of="t") for i, s in enumerate(("InsertDelete", "Append", "Merge", "InsertOverrideMerge")))
+    (tmp_path / "m").write_text(text)
+    assert main(["--sql", "materialize", str(tmp_path / "m")]) == 0
+    whole = capsys.readouterr().out
+    assert whole.count("CREATE OR REPLACE TABLE") == 5 and "CREATE OR REPLACE VIEW script_b" in whole and "FROM script_a" in whole
+    assert not spark.catalog.tableExists("script_a")
+    (create,) = [s for s in whole.split(";\n") if s.startswith("CREATE OR REPLACE TABLE script_a")]
+    assert rows(spark.sql(create.split("AS\n", 1)[1])) == [(1, 1), (2, 1), (3, 2)]
+    assert main(["--sql", "materialize", str(tmp_path / "m"), "incremental", "2"]) == 0
+    parts = capsys.readouterr().out
+    assert parts.count("MERGE INTO") == 2 and parts.count("INSERT INTO") == 2 and parts.count("DELETE FROM") == 1 and "NOT MATCHED BY SOURCE" in parts
+    assert "`id` >= 2" in parts
+
+
+def test_functions_of_straight_statements_become_expressions(spark, things):
+    text = THINGS + """
+    def grade(x) { var y = x * 2; if y > 4 then { y++ } else { if y < 0 then { return 0 - 1 } }; return y };
+    def twice(x) { var y = grade(x); return y + grade(x) };
+    def self(x) { if x <= 0 then { return 0 } else { return self(x - 1) } };
+    """
+    e = Engine(spark, text, sources={"t": things})
+    plan = e.explain("(id, g = grade(v), w = twice(v)) from t")
+    assert "EvalPython" not in plan
+    assert rows(e.query("(id, g = grade(v), w = twice(v)) from t")) == [(1, 6.0, 12.0), (2, None, None), (3, -1.0, -2.0), (3, -1.0, -2.0)]
+    assert "ArrowEvalPython" in e.explain("(s = self(id)) from t")
+
+
+@pytest.mark.parametrize("body, args, value", [
+    ("{ var y = x; return y != 2 }", [None], None), ("{ return x = Null }", [None], True), ("{ return x in [1, 2] }", [None], None), ("{ return x in [1, Null] }", [3], None), ("{ return x in [1, Null] }", [1], True),
+    ('{ return like(x, "a%_c") }', ["abbc"], True), ('{ return like(x, "a_c") }', ["abbc"], False), ("{ return floor(x, 1) }", [1.27], 1.2), ("{ return ceil(x, 1) }", [1.21], 1.3),
+    ('{ return floor(x, "day") }', [datetime.datetime(2024, 5, 3, 7)], datetime.datetime(2024, 5, 3)), ('{ return ceil(x, "month") }', [datetime.datetime(2024, 12, 3)], datetime.datetime(2025, 1, 1)),
+    ('{ return floor(x, "quarter") }', [datetime.datetime(2024, 5, 3, 7)], datetime.datetime(2024, 4, 1)), ("{ return current_date() != Null }", [1], True),
+])
+def test_statements_know_nulls_and_all_functions(body, args, value):
+    (f,) = parse_program(f"def f(x) {body}")
+    got = Interpreter({"f": f}).call("f", args)
+    assert got == value and type(got) is type(value) or isinstance(value, float) and abs(got - value) < 1e-9
+
+
+def test_everything_else_works_without_the_optional_part(tmp_path):
+    """A copy of the repository without the folders of the training-data operators, and one in which they cannot be imported."""
+    import shutil
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 120, len(q); print(sum(k.startswith('op') or k == 'pipeline' for k in q))"
+    for gone in ("broken", "deleted"):
+        if gone == "broken" and (tmp_path / "repo" / "conceptra" / "llm").exists():
+            (tmp_path / "repo" / "conceptra" / "llm" / "common.py").write_text("import a_module_that_nobody_has")
+        for folder in ("conceptra/llm", "tests/llm") if gone == "deleted" else ():
+            shutil.rmtree(tmp_path / "repo" / folder, ignore_errors=True)
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, capture_output=True, text=True).stdout
+        assert int(out.split()[-1]) == 0
