@@ -36,12 +36,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_join", near), ("mixing", mixed), ("packing", packed)]
 
-#: Language identification and the similarity join cannot be put in SQL. A brute-force test of all stages is missing; the stages' operators have their own.
+#: Language identification and the similarity join cannot be put in SQL; tests/llm holds a brute-force version against the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
