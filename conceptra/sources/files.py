@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import cast, type_text
 from ..lang import ast as A
@@ -30,20 +30,25 @@ def declared(source: A.DataSource) -> str | None:
     return None
 
 
-#: Schemas of files that name their own columns, by session, format, options, path and the time of its last change.
-_schemas: dict[tuple, T.StructType] = {}
+#: Rows of local Parquet and ORC sources, by session, declaration, path and the state of its files.
+_frames: dict[tuple, DataFrame] = {}
+_local: dict[int, tuple[SparkSession, bool]] = {}
 
 
 def _state(spark: SparkSession, path: str) -> tuple | None:
-    """What changes when a path's files do, or None if that can't be told."""
-    if any(c in path for c in "*?[{"):
+    """Names, sizes and times of the files at a local path without folders in it; None if that can't be told cheaply."""
+    if id(spark) not in _local or _local[id(spark)][0] is not spark:
+        _local[id(spark)] = spark, spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+    if not path.startswith("/") or not _local[id(spark)][1]:
         return None
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
     try:
-        found = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there)
-    except Exception:  # the reader says what is wrong
+        if not os.path.isdir(path):
+            found = os.stat(path)
+            return found.st_mtime_ns, found.st_size
+        inside = [(e.name, e.is_dir(), e.stat()) for e in os.scandir(path)]
+    except OSError:  # the reader says what is wrong
         return None
-    return found.getModificationTime(), found.getLen()
+    return None if any(folder for _, folder, _ in inside) else tuple(sorted((name, found.st_mtime_ns, found.st_size) for name, _, found in inside))
 
 
 def as_sql(spark: SparkSession, source: A.DataSource, base: str | None) -> str | None:
@@ -58,18 +63,19 @@ def as_sql(spark: SparkSession, source: A.DataSource, base: str | None) -> str |
 def read(spark: SparkSession, source: A.DataSource, base: str | None = None) -> DataFrame:
     """A source's rows.
 
-    Parquet and ORC files name their columns' types; their schema is looked up once for each state of
-    the path. Of text formats, sources whose columns all have types are read without a pass to infer
+    Parquet and ORC files name their columns' types; local ones are opened once for each state of the
+    path. Of text formats, sources whose columns all have types are read without a pass to infer
     them (CSV: as text, cast by name); otherwise the files are read once more for that.
     """
     if source.format not in FORMATS:
         raise Unsupported(f"format {source.format}; there are {', '.join(FORMATS)}")
-    reader, given, path = spark.read, options(source), full_path(source.path, base)
+    given, path = options(source), full_path(source.path, base)
     key = None
     if source.format in ("PARQUET", "ORC") and not given and (state := _state(spark, path)):
-        key = (spark.sparkContext.applicationId, source.format, path, state)
-        if key in _schemas:
-            reader = reader.schema(_schemas[key])
+        key = (id(spark), source.format, path, source.attributes, state)
+        if key in _frames and _frames[key].sparkSession is spark:
+            return _frames[key]
+    reader = spark.read
     if source.format == "CSV":
         reader = reader.option("header", "true")
         if declared(source) is None:
@@ -85,9 +91,10 @@ def read(spark: SparkSession, source: A.DataSource, base: str | None = None) ->
         if source.format == "AVRO" and "AVRO" in str(e).upper():
             raise Unsupported("AVRO needs Spark's external avro package, which this session does not have") from e
         raise
+    frame = project(frame, source)
     if key:
-        _schemas[key] = frame.schema
-    return project(frame, source)
+        _frames[key] = frame
+    return frame
 
 
 def project(frame: DataFrame, source: A.DataSource) -> DataFrame:
@@ -95,4 +102,5 @@ def project(frame: DataFrame, source: A.DataSource) -> DataFrame:
     missing = [a.name for a in source.attributes if a.name not in frame.columns]
     if missing:
         raise NotFound(f"{source.name} has no columns {', '.join(missing)}")
-    return frame.select(*(F.expr(cast(f"`{a.name}`", a.type)).alias(a.name) if a.type is not None else F.col(f"`{a.name}`") for a in source.attributes))
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    return frame.selectExpr(*(f"{cast(quoted(a.name), a.type)} AS {quoted(a.name)}" if a.type is not None else quoted(a.name) for a in source.attributes))
