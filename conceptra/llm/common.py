@@ -60,8 +60,12 @@ def cut(df: DataFrame, **options) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, row): every row as a struct, whatever its columns are called, with a key of its own.
 
-    Written, so that the keys stay the same however often they are read.
+    The key is doc_id where every row has one of its own. Otherwise rows are numbered, and written, so
+    that the numbers stay the same however often they are read.
     """
+    shared = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        return docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))
     return cut(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")))
 
 

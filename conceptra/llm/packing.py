@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import CHUNK_BYTES, SPACE, chunks, cut, documents, mix64, rolling, sample_share, small_batches, tidy
+from .common import CHUNK_BYTES, SPACE, chunks, cut, discard, documents, mix64, rolling, sample_share, small_batches, tidy
 from .words import ending, ragged, word_tokenizer
 
 LENGTH, END = 4096, 2
@@ -334,14 +334,18 @@ def fitted(tokenised: DataFrame, rows: int, ends: np.ndarray) -> Tree:
     return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, WIDTH))
 
 
-def places(tokenised: DataFrame, rows: int, ends: np.ndarray) -> DataFrame:
-    """(key, cell, home) of tokenised rows: the order of all documents is by cell, then home, then key."""
+def celled(tokenised: DataFrame, rows: int, ends: np.ndarray) -> DataFrame:
+    """(key, tokens, sketch, cell) of tokenised rows."""
     spark = tokenised.sparkSession
     tree = spark.sparkContext.broadcast(fitted(tokenised, rows, ends))
     coded = tokenised.select("key", "tokens", "ids", "sketch").mapInArrow(
         lambda batches: tidy(lambda rows: _of_batches(batches, ["key", "tokens", "sketch"], ends, lambda found: pa.array(tree.value.cells(found))))(batches), "key long, tokens long, sketch array<long>, made long"
     )
-    coded = cut(coded.withColumnRenamed("made", "cell"))
+    return coded.withColumnRenamed("made", "cell")
+
+
+def places(coded: DataFrame) -> DataFrame:
+    """(key, tokens, cell, home): the order of all documents is by cell, then home, then key."""
     runs = coded.select("key", "cell", F.explode("sketch").alias("run"))
     shared = runs.groupBy("run").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("key", "cell")).alias("first")).filter("texts > 1")
     homes = runs.select("key", "run").join(shared, "run").groupBy("key").agg(F.min(F.struct("texts", "run", "first.cell")).alias("at"))
@@ -358,7 +362,9 @@ def dealt(tokenised: DataFrame, ends: np.ndarray) -> DataFrame:
     total, rows = tokenised.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     shards = -(-total // SHARD_TOKENS)
     tasks = max(1, min(shards, TASKS), -(-shards // SHARDS_OF_TASK))
-    found = cut(places(tokenised, rows, ends))
+    coded = cut(celled(tokenised, rows, ends))
+    found = cut(places(coded))
+    discard(coded)
     # at most 2**LEVELS rows
     cells = found.groupBy("cell").agg(F.sum("tokens").alias("words")).withColumn("base", F.sum("words").over(W.orderBy("cell")) - F.col("words"))
     at = F.col("base") + F.col("words") * (F.shiftrightunsigned("home", 11) / F.lit(float(1 << 53)))

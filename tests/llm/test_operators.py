@@ -855,3 +855,21 @@ def test_sentence_spans_odd(spark):
 def test_cut_keeps_rows(spark):
     df = spark.createDataFrame([(1, [1, 2], None)], "a long, b array<int>, c string")
     assert cut(df).collect() == df.collect() and cut(df.limit(0)).schema == df.schema
+
+
+def test_a_text_of_20_mb(spark, tmp_path):
+    """Through every operator, whole: the text's own repeats, words and tokens all count."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=3_500_000)) + "."
+    assert len(long) > 19_000_000
+    frame(spark, [long, "short text of a few words", long[:5000]]).repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {name: registry.queries()[name](spark, str(tmp_path)).orderBy("doc_id").collect() for name in registry.queries() if name != "op7_embedding_dedup"}
+    assert [r.n_shingles > 3_400_000 for r in found["op1_ngram_join"]] == [True, False, False]
+    assert {r.doc_id for r in found["op2_language_id"]} == {0, 1, 2} and {r.doc_id for r in found["op3_sharding"]} == {0, 1, 2}
+    assert found["op4_mixing"][0]["size"] == 3_500_000 and found["op5_repeats"][2].n_removed == 5000 and found["op5_repeats"][0].n_bytes == len(long)
+    packed = [r for r in found["op6_packing"] if r.doc_id == 0]
+    assert sum(r.length for r in packed) == packed[0].doc_tokens > 3_500_000
+    assert found["op8_token_counts"][0].n_words == 3_500_000
+    assert found["op9_exact_dedup"][0].text_sha256 == hashlib.sha256(long.replace(" ", "").encode()).hexdigest()
+    assert "".join(r.text for r in found["op10_sentence_spans"] if r.doc_id == 0) == long
