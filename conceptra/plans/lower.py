@@ -64,12 +64,13 @@ class Lowering:
                 text = f"{self.relation(src.relation)} AS {quoted(src.alias)}"
             parts.append((src.join, text, [(quoted(src.alias, k), self.show(v)) for k, v in src.keys]))
         origin, where = joins.fold(parts), self.condition(s.where) if s.where is not None else ""
-        s, staged = self.staged(s)
+        s, keys, staged = self.staged(s)
         if staged:
             # window functions below aggregates: computed first, the parents going along as structs
             rows = [f"struct({quoted(src.alias)}.*) AS {quoted(src.alias)}" for src in s.sources]
-            rows += [f"{text} AS {quoted(name)}" for name, text in staged.items()]
+            rows += [f"{text} AS {quoted(name)}" for name, text in keys.items()]
             origin = f"(SELECT {', '.join(rows)} FROM {origin}" + (f" WHERE {where}" if where else "") + ")"
+            origin = f"(SELECT *, {', '.join(f'{text} AS {quoted(name)}' for name, text in staged.items())} FROM {origin})"
             where = ""
         shown = [o for o in s.outputs if not o.private]
         if extra:
@@ -94,7 +95,8 @@ class Lowering:
             out += f"\nOFFSET {s.offset}"
         return out
 
-    def staged(self, s: Select) -> tuple[Select, dict[str, str]]:
+    def staged(self, s: Select) -> tuple[Select, dict[str, str], dict[str, str]]:
+        """The select over window functions that are columns, with the texts of its keys and of these functions."""
         found: dict[A.Node, str] = {}
 
         def inside(node: A.Node):
@@ -116,7 +118,20 @@ class Lowering:
         if s.group and any(isinstance(n, A.Window) for g in s.group for n in g.walk()):
             # outputs that repeat a group's window function
             new = dataclasses.replace(new, outputs=tuple(Output(o.name, o.value.rewrite(lambda n: A.Column("", (found[n],)) if n in found else None), o.private) for o in new.outputs))
-        return new, {name: self.show(node) for node, name in found.items()}
+        keys: dict[A.Node, str] = {}
+
+        def key(node: A.Node):
+            return A.Column("", (keys[node],)) if node in keys else None
+
+        if found:
+            # keys as columns of their own, so that a window's partitioning is seen to serve the groups, too
+            own = [A.Column("", (name,)) for name in found.values()]
+            keys |= {g: f"__g{i}" for i, g in enumerate(new.group) if not isinstance(g, A.Lit) and not any(g.contains(w) for w in own)}
+            new = dataclasses.replace(
+                new, outputs=tuple(Output(o.name, o.value.rewrite(key), o.private) for o in new.outputs), having=new.having.rewrite(key) if new.having is not None else None,
+                group=tuple(key(g) or g for g in new.group), order=tuple(dataclasses.replace(o, value=o.value if isinstance(o.value, str) else o.value.rewrite(key)) for o in new.order),
+            )
+        return new, {name: self.show(g) for g, name in keys.items()}, {name: self.show(node.rewrite(key)) for node, name in found.items()}
 
     def simple(self, s: Select) -> bool:
         """Whether a filter on the outputs can join the query's own."""
