@@ -68,7 +68,10 @@ def shares(sizes: DataFrame, *more: str) -> DataFrame:
 
     ``more`` is the name of a column that numbers the rows, if there is one: rows without ids are ordered by it.
     """
-    sizes = cut(sizes.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", *more), "size"), 11) / F.lit(float(1 << 53))))
+    named = F.concat_ws("/", F.coalesce("doc_id", *more).cast("string"), F.col("size").cast("string"))
+    # 52 bits of a digest that every database knows
+    at = F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    sizes = cut(sizes.withColumn("at", at))
     goal = cut(targets(sizes))
     key = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     side = goal.withColumnRenamed("source", "of")
@@ -111,6 +114,33 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(mix(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CAST(source AS VARCHAR) AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), o AS (
+  SELECT *, CAST('0x' || substr(md5(concat_ws('/', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0 AS at FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::DOUBLE, 2.0, 1.0][i % 3 + 1] AS weight, [-0.5::DOUBLE, 0.5, 0.5][i % 3 + 1] AS slope, source_size * 3.0::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, cap / weight AS level FROM w
+), h AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY level, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY level, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l
+), t AS (
+  SELECT *, least(weight * coalesce((SELECT share FROM h WHERE share <= level ORDER BY level, i LIMIT 1), 0.0::DOUBLE), cap) AS target FROM h
+), b AS (
+  SELECT o.*, t.source_size, t.target, t.slope, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target) AS BIGINT) // t.source_size ELSE 0 END AS passes,
+    CAST(coalesce(sum(o.size) OVER (PARTITION BY o.source ORDER BY o.at, o.doc_id, o.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, CAST(passes * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken, least(1.0::DOUBLE, before / target) AS part FROM b
+)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * part)) / (2 * slope) + 0.0 END AS position FROM k
+"""
+
+
 def materialize(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``, in training order: a row for each pass, the last one cut to the words taken.
 

@@ -330,6 +330,26 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(documents(spark, sf_dir))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS x FROM d
+), u AS (
+  SELECT doc_id, len(x) AS n, unnest(x) AS g FROM s
+), e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, l.b FROM r JOIN both_ways l ON l.a = r.reached
+), c AS (
+  SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(x) AS BIGINT) AS n_shingles, CASE WHEN len(x) > 0 THEN min(s.doc_id) OVER (PARTITION BY x) ELSE s.doc_id END AS class_id, component_id FROM s JOIN c ON c.doc_id = s.doc_id
+"""
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates (that with the smallest id), all columns; for use as a pipeline stage.
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import op7_embedding_dedup
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .language_id import op2_language_id
-from .mixing import op4_mixing
-from .ngram_join import op1_ngram_join
+from .mixing import OP4_SQL, op4_mixing
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .packing import op6_packing
-from .repeats import op5_repeats
+from .repeats import OP5_SQL, op5_repeats
 from .sentence_spans import op10_sentence_spans
-from .sharding import op3_sharding
+from .sharding import op3_sharding, op3_sql
 from .token_counts import op8_token_counts
 
 
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_sharding": op3_sql(), "op4_mixing": OP4_SQL, "op5_repeats": OP5_SQL, "op9_exact_dedup": OP9_SQL}

@@ -351,5 +351,30 @@ def dedup(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(lists, "doc_id", "left").mapInArrow(tidy(_removed), RESULT_SCHEMA)
 
 
+OP5_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)
+), f AS (
+  SELECT g, min(struct_pack(d := doc_id, i := i)) AS first FROM w GROUP BY g HAVING count(*) > 1
+), r AS (
+  SELECT w.doc_id, w.i FROM w JOIN f ON w.g = f.g WHERE w.doc_id <> f.first.d OR w.i <> f.first.i
+), m AS (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r
+), k AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY doc_id, run
+), p AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), c AS (
+  SELECT p.doc_id, count(*) AS n_spans, sum(p.b - p.a) AS n_removed, max(p.b) AS last, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir))

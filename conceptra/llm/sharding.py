@@ -82,6 +82,13 @@ def write(df: DataFrame, key: str, path: str, shards: list[str], size: int = TAB
     placed.select(*(F.col(f"`{c}`") for c in df.columns if c != "shard"), F.col(name).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def op3_sql() -> str:
+    """The table is given as a list; the tests hold an own one against it."""
+    table = ", ".join(map(str, fill(list(SHARDS))))
+    slots = f"SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {TABLE_SIZE} AS slot FROM documents"
+    return f"SELECT doc_id, source, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, slot, printf('shard-%03d', ([{table}])[slot + 1]) AS shard FROM ({slots})"
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
     return place(docs, "doc_id", list(SHARDS)).select("doc_id", "source", "n_chars", "slot", "shard")

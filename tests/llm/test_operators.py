@@ -707,8 +707,9 @@ def test_token_counts_odd(spark):
 # 9: exact dedup
 
 
-def test_exact_dedup(spark, sf):
-    same(registry.queries()["op9_exact_dedup"](spark, sf), database(sf), registry.oracle_sql()["op9_exact_dedup"])
+@pytest.mark.parametrize("key", sorted(registry.oracle_sql()))
+def test_oracles(spark, sf, key):
+    same(registry.queries()[key](spark, sf), database(sf), registry.oracle_sql()[key])
 
 
 def test_exact_dedup_odd(spark):
