@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udf
 
-from .functions.procedural import python_function, returned_type
+from .functions.compiled import python_function
+from .functions.procedural import returned_type
 from .lang import ast as A
 from .lang.build import node
 from .lang.errors import NotFound
