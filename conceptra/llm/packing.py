@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import CHUNK_BYTES, SPACE, chunks, cut, discard, documents, mix64, rolling, sample_share, small_batches, tidy
-from .words import ending, ragged, word_tokenizer
+from .words import ending, runs, word_tokenizer
 
 LENGTH, END = 4096, 2
 #: Tokens of an index shard, shards from which on a task gets several, and tasks below which it gets one.
@@ -43,7 +43,7 @@ SHARD_TOKENS, TASKS, SHARDS_OF_TASK = 1_500_000, 2000, 64
 K1, B = 1.2, 0.75
 #: Share of a shard's documents above which a term is left out.
 COMMON = 0.2
-#: Tokens of a run, runs in a sketch, and documents of a home that stay together.
+#: Tokens of a run (a power of two), runs in a sketch, and documents of a home that stay together.
 RUN, SKETCH, GROUP = 8, 16, 64
 #: Places of the vectors that choose a cell, levels of the tree of cells, and documents that it is fitted on.
 WIDTH, LEVELS, SAMPLE = 1024, 8, 4096
@@ -88,9 +88,11 @@ def sketches(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The least hashes of the runs of each text, at most ``SKETCH`` distinct ones, and their number for each text."""
     if len(ids) < RUN:
         return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
-    packed = np.zeros(len(ids) - RUN + 1, np.uint64)
-    for k in range(RUN):
-        packed = packed * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - RUN + 1 + k] + np.uint64(1)
+    # runs of 1, 2, 4, .. tokens: two neighbouring ones make one of twice the length
+    packed, factor = ids.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15
+    for k in (1 << i for i in range(RUN.bit_length() - 1)):
+        packed = packed[:-k] * np.uint64(factor) + packed[k:]
+        factor = factor * factor % (1 << 64)
     hashes, ends = mix64(packed), np.cumsum(sizes)
     # a share of the hashes that holds enough of the least ones of each text
     runs = np.maximum(1, sizes - RUN + 1)
@@ -164,16 +166,16 @@ class Bm25:
     """An inverted index over the terms of a shard's documents, given as hashes and their number for each document."""
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray):
-        n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owner = hashes[order], owner[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        fresh = new.copy()
-        fresh[1:] |= owner[1:] != owner[:-1]
-        fresh = np.flatnonzero(fresh)
-        times = np.diff(fresh, append=len(hashes)).astype(np.float32)
-        self.owner, term = owner[fresh], (np.cumsum(new) - 1)[fresh]
+        n = len(sizes)
+        # one number for a word and its document: plain numbers are sorted much faster than an order of them is found
+        coded = pa.array(hashes).dictionary_encode()
+        number = np.empty(len(coded.dictionary), np.uint64)
+        number[np.argsort(coded.dictionary.to_numpy())] = np.arange(len(number), dtype=np.uint64)
+        both = np.sort(number[coded.indices.to_numpy()] << np.uint64(32) | np.repeat(np.arange(n, dtype=np.uint64), sizes))
+        fresh = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+        times = np.diff(fresh, append=len(both)).astype(np.float32)
+        both = both[fresh]
+        self.owner, term = (both & np.uint64((1 << 32) - 1)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
         self.size = np.bincount(term, minlength=1)
         self.start = np.cumsum(self.size) - self.size
         idf = np.log1p((n - self.size + 0.5) / (self.size + 0.5)).astype(np.float32)
@@ -188,7 +190,7 @@ class Bm25:
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.terms[self.upto[seed] : self.upto[seed + 1]]
-        at = ragged(np.arange(len(self.owner)), self.start[terms], self.size[terms])
+        at = runs(self.start[terms], self.size[terms])
         return np.bincount(self.owner[at], self.weight[at], self.n)
 
     def neighbours(self, seed: int, used: np.ndarray):

@@ -1,8 +1,8 @@
 """Token ids of texts by a public byte-pair tokenizer file that splits at white space.
 
-Words are taken from the Arrow buffers and made distinct by dictionary encoding. Words of lower-case
-Latin letters are merged together, those of one length as one matrix; any other word is given to the
-tokenizer itself.
+Words are taken from the Arrow buffers and made distinct by dictionary encoding. Those that the worker
+met before are looked up; of the others, words of lower-case Latin letters are merged together, those of
+about one length as one matrix, and any other word is given to the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -12,29 +12,53 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, SPACE
+from .common import mix64
 
 #: Longer words of letters are given to the tokenizer, whose work grows less with their length.
 LONGEST = 40
-#: Words given to the tokenizer that a worker remembers.
-REMEMBERED = 20_000
+#: Words of so few bytes are remembered: with their length they fill two numbers, so that what is found is the word itself.
+SHORT = 15
+#: Bits of the number of places for remembered words (two are open to each, and the last one stays), and their ids; beyond them a worker begins anew.
+PLACES, REMEMBERED = 20, 1 << 22
+#: Words of letters are merged as one matrix up to each of these lengths.
+LENGTHS = (4, 7, 10, 14, 20, LONGEST)
 _NEVER = np.int32(2**31 - 1)
 
-_A_TO_Z = np.zeros(256, bool)
-_A_TO_Z[97:123] = True
-#: ASCII marks and digits.
-_OTHER = np.zeros(256, bool)
-_OTHER[33:127] = True
-_OTHER[65:91] = _OTHER[97:123] = False
 #: Second bytes of the lower-case letters U+00DF to U+00FF, which no normalisation changes; the first is 0xC3.
 _SECOND = np.zeros(256, bool)
 _SECOND[0x9F:0xC0] = True
 _SECOND[0xB7] = False
 
 
+# Comparisons instead of tables of 256 places: they take many bytes at a time. Below the first one a byte wraps round.
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+def _space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
+def _a_to_z(data: np.ndarray) -> np.ndarray:
+    return data - np.uint8(97) < 26
+
+
+def _other(data: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-cased text are ASCII marks or digits."""
+    return (data - np.uint8(33) < 94) & ~_a_to_z(data)
+
+
+def _where(flags: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Places of the flags that are set, counted among the bytes chosen by ``among``; all of them are chosen."""
+    return np.flatnonzero(np.frombuffer((flags.view(np.uint8) + among.view(np.uint8)).tobytes().translate(None, b"\0"), np.uint8) == 2)
+
+
 def _plain(data: np.ndarray) -> np.ndarray:
     """Which bytes belong to letters a-z or U+00DF to U+00FF."""
-    out = _A_TO_Z[data]
+    out = _a_to_z(data)
     lead = np.flatnonzero(data[:-1] == 0xC3)
     lead = lead[_SECOND[data[lead + 1]]]
     out[lead] = out[lead + 1] = True
@@ -88,9 +112,12 @@ class Merges:
         return found
 
     def merged(self, words: np.ndarray):
-        """(rows, ids) of a matrix of words (a byte a column): the best pair of each word is merged until none is left."""
+        """(rows, ids) of a matrix of words (a byte a column, zeros before a shorter one): the best pair of each word is merged until none is left.
+
+        Columns before a word hold -1, which no pair has.
+        """
         row = np.arange(len(words))
-        ids = self.inner[words]
+        ids = np.where(words > 0, self.inner[words], np.int32(-1))
         ids[:, -1] = self.final[words[:, -1]]
         rank = self.rank(ids[:, :-1], ids[:, 1:])
         while len(row):
@@ -116,8 +143,17 @@ class Merges:
                 rank[right, at[right]] = self.rank(ids[right, at[right]], ids[right, at[right] + 1])
 
 
+def names_of(letters: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words letters[first:last] of ``SHORT`` bytes at most as two numbers each: their bytes, zeros and, in the last byte, their length."""
+    size, every = last - first, np.arange(SHORT + 1)
+    names = np.concatenate([letters, np.zeros(SHORT + 1, np.uint8)])[first[:, None] + every]
+    names *= every < size[:, None]
+    names[:, SHORT] = size
+    return names.view(np.uint64)
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizers file, each distinct word of a call encoded once."""
+    """Ids of texts by a tokenizers file, each distinct word encoded once, as long as it is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -126,34 +162,60 @@ class WordTokenizer:
             model = json.load(file)["model"]
         self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(model)
         self.kind = np.uint32 if len(ending(path)) > 1 << 16 else np.uint16
-        self.odd: dict[bytes, np.ndarray] = {}
-
-    def _odd(self, words: list[bytes]) -> list[np.ndarray]:
-        if len(self.odd) > REMEMBERED:
-            self.odd = {}
-        fresh = [w for w in words if w not in self.odd]
-        for a in range(0, len(fresh), 2000):
-            own = fresh[a : a + 2000]
-            for w, e in zip(own, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in own], add_special_tokens=False)):
-                self.odd[w] = np.array(e.ids, self.kind)
-        return [self.odd[w] for w in words]
-
-    def _encode(self, letters: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the words letters[edges[i]:edges[i + 1]] as (flat, start, size)."""
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered words, all ids that were made, and where those of each word are."""
+        self.names, self.flat = np.zeros((1 << PLACES, 2), np.uint64), np.zeros(0, self.kind)
+        self.start, self.size = np.zeros(1 << PLACES, np.int32), np.zeros(1 << PLACES, np.uint8)
+
+    def _odd(self, words: list[bytes]):
+        for a in range(0, len(words), 2000):
+            for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a : a + 2000]], add_special_tokens=False):
+                yield np.array(e.ids, self.kind)
+
+    def _ids(self, letters: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct words letters[edges[i]:edges[i + 1]] as (flat, start, size)."""
+        short = np.flatnonzero(np.diff(edges) <= SHORT)
+        names = names_of(letters, edges[short], edges[short + 1])
+        place = mix64(names[:, 0] * np.uint64(0x9E3779B97F4A7C15) + names[:, 1])
+        place = np.stack([place >> np.uint64(64 - PLACES), place & np.uint64((1 << PLACES) - 1)]).astype(np.int64)
+        second = (self.names[place[1]] == names).all(1)
+        met = (self.names[place[0]] == names).all(1) | second
+        own, place = np.where(second, place[1], place[0])[met], place[:, ~met]
+        fresh = np.ones(len(edges) - 1, bool)
+        fresh[short[met]] = False
+        flat, start, size = self._encode(letters, edges, fresh)
+        start += len(self.flat)
+        self.flat = np.concatenate([self.flat, flat])
+        start[short[met]], size[short[met]] = self.start[own], self.size[own]
+        short, names = short[~met], names[~met]
+        place, first = np.unique(np.where(self.size[place[0]] == 0, place[0], place[1]), return_index=True)
+        self.names[place], self.start[place], self.size[place] = names[first], start[short[first]], size[short[first]]
+        found = self.flat, start, size
+        if len(self.flat) > REMEMBERED:
+            self._forget()
+        return found
+
+    def _encode(self, letters: np.ndarray, edges: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chosen words letters[edges[i]:edges[i + 1]] as (flat, start, size)."""
         n = len(edges) - 1
         start, size, parts, total = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
         wrong = np.concatenate([[0], np.cumsum(~_plain(letters))])
         length = np.diff(edges)
-        fast = (wrong[edges[1:]] == wrong[edges[:-1]]) & (length <= LONGEST)
-        for size_of in np.unique(length[fast]).tolist():
-            own = np.flatnonzero(fast & (length == size_of))
+        fast = chosen & (wrong[edges[1:]] == wrong[edges[:-1]]) & (length <= LONGEST)
+        for shorter, longest in zip((0, *LENGTHS), LENGTHS):
+            own = np.flatnonzero(fast & (length > shorter) & (length <= longest))
             for a in range(0, len(own), 8192):
                 part = own[a : a + 8192]
-                for row, ids in self.merges.merged(letters[edges[part][:, None] + np.arange(size_of)]):
-                    start[part[row]], size[part[row]] = total + np.arange(len(row)) * ids.shape[1], ids.shape[1]
-                    parts.append(ids.astype(self.kind).ravel())
-                    total += ids.size
-        rest = np.flatnonzero(~fast)
+                at = edges[part + 1][:, None] + np.arange(-longest, 0)
+                for row, ids in self.merges.merged(np.where(at >= edges[part][:, None], letters[np.maximum(at, 0)], np.uint8(0))):
+                    there = ids >= 0
+                    size[part[row]] = sizes = there.sum(1)
+                    start[part[row]] = total + np.cumsum(sizes) - sizes
+                    parts.append(ids[there].astype(self.kind))
+                    total += len(parts[-1])
+        rest = np.flatnonzero(chosen & ~fast)
         for i, ids in zip(rest.tolist(), self._odd([letters[edges[i] : edges[i + 1]].tobytes() for i in rest.tolist()])):
             start[i], size[i] = total, len(ids)
             parts.append(ids)
@@ -170,13 +232,13 @@ class WordTokenizer:
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         # A-Z are lower-cased by the tokenizer anyway
-        lowered, inside = LOWER[raw], ~SPACE[raw]
+        lowered, inside = _lower(raw), ~_space(raw)
         starts = inside.copy()
         starts[1:] &= ~inside[:-1]
         # the tokenizer splits between a letter and an ASCII mark or digit, and back unless an apostrophe comes first
-        plain, ascii_other = _plain(lowered), _OTHER[lowered]
+        plain, ascii_other = _plain(lowered), _other(lowered)
         cut = plain[:-1] & ascii_other[1:]
-        cut |= ascii_other[:-1] & (lowered[:-1] != 39) & _A_TO_Z[lowered[1:]]
+        cut |= ascii_other[:-1] & (lowered[:-1] != 39) & _a_to_z(lowered[1:])
         starts[1:] |= cut
         borders = offsets[:-1][np.diff(offsets) > 0]
         # special tokens are matched before anything else
@@ -187,14 +249,14 @@ class WordTokenizer:
                     starts[a:b] = inside[a:b]
                     starts[a + 1 : b] &= ~inside[a : b - 1]
         starts[borders] = inside[borders]
-        packed, at = lowered[inside], np.flatnonzero(starts[inside])
+        packed, at = np.frombuffer(lowered.tobytes().translate(None, b"\t\n\v\f\r "), np.uint8), _where(starts, inside)
         if not len(at):
             return np.zeros(0, self.kind), np.zeros(n, np.int64)
         words_upto = np.searchsorted(np.flatnonzero(starts), offsets)
         bounds = np.append(at, len(packed)).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
         _, edges, letters = words.dictionary.buffers()
-        flat, start, size = self._encode(np.frombuffer(letters, np.uint8), np.frombuffer(edges, np.int32)[: len(words.dictionary) + 1].astype(np.int64))
+        flat, start, size = self._ids(np.frombuffer(letters, np.uint8), np.frombuffer(edges, np.int32)[: len(words.dictionary) + 1].astype(np.int64))
         number = words.indices.to_numpy()
         size = size[number]
         return ragged(flat, start[number], size), np.diff(np.concatenate([[0], np.cumsum(size)])[words_upto])
@@ -211,9 +273,14 @@ def ending(path: str) -> np.ndarray:
     return ends
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of all runs one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs flat[start:start + size] one after the other."""
-    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return flat[runs(start, size)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

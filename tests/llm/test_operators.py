@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from conceptra.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, registry, repeats, sentence_spans, sharding, token_counts
 from conceptra.llm.common import components, cut, sample_share, word_hashes
+from conceptra.llm import words as words_module
 from conceptra.llm.words import word_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, keys string, n long"
@@ -519,6 +520,34 @@ def test_word_tokenizer(texts):
 TRICKY = ["don't  I'LL  stop. a,b ... %%%. 3.14, 7. x y z é. ́x", "<|endoftext|> <|ENDOFTEXT|> a<|endoftext|>b THE. É.", "ß. ÄÖ, İI. Σσς ΑΣ. 東京。x.", "\x0b\x0c\x1c\x85a\x85b", "it's. '' 'S ’s the.' ,. a.,. b.,", "x" * 5000 + ".", "é. àb"]
 
 
+def test_words_are_merged_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = packing.tokenizer_path(), random.Random(3)
+    plain, letters = Tokenizer.from_file(path), "abcdeinorst" * 3 + "éßxyz"
+    words = ["".join(rng.choices(letters, k=rng.choice([1, 2, 3, 4, 5, 7, 8, 10, 11, 14, 15, 16, 20, 21, 39, 40, 41, 60]))) for _ in range(3000)] + ["don't", "A1b2", "東京", "\x00", "a\x00", "ﷺ" * 5, "the", "The"]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(120)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def found():
+        ids, sizes = encode(pa.array(texts))
+        return [own.tolist() for own in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    encode, merged = words_module.WordTokenizer(path), []
+    real = encode.merges.merged
+    monkeypatch.setattr(encode.merges, "merged", lambda some: merged.append(len(some)) or real(some))
+    assert found() == want and len(merged) <= len(words_module.LENGTHS) + 1
+    first = sum(merged)
+    merged.clear()
+    # longer words and a few whose place others took
+    assert found() == want and sum(merged) < 0.45 * first
+    # hardly any place, and beginning anew at each call
+    for name, value in (("PLACES", 3), ("REMEMBERED", 10)):
+        monkeypatch.setattr(words_module, name, value)
+        encode = words_module.WordTokenizer(path)
+        assert found() == want and found() == want
+
+
 def test_packing_odd(spark):
     assert checked_pack(frame(spark, [*ODD.values(), *TRICKY])) <= 1
     assert packing.pack(frame(spark, {}), packing.tokenizer_path()).count() == 0
