@@ -238,19 +238,54 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES):
         yield start, len(sizes)
 
 
+#: Links that one task joins; more of them are brought below that by steps on all machines first.
+JOINED = 1 << 19
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable from each) of the links a[i], b[i].
+
+    In each round the roots take the smallest root that a link shows them; two rounds halve the roots
+    of a component at least, so that a long chain takes as few rounds as a star.
+    """
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _joined(batches):
+    """``joined`` for all links (u, v) of a task."""
+    parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in "uv"] for batch in batches]
+    if parts:
+        nodes, least = joined(*map(np.concatenate, zip(*parts)))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(least[at : at + (1 << 16)])], ["node", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node of the links: (node, component).
 
-    Alternates large-star and small-star steps, which keep the components and end in stars around
-    their smallest nodes; each step is two shuffles of at most as many rows as there are links, and
-    minima are combined before the shuffle, so that one node with very many links is no bottleneck.
-    Nodes without links do not appear. No links: no rows.
+    Up to ``JOINED`` links are joined by one task: a step on all machines has several shuffles, and what
+    the driver keeps of their tasks adds up where there are many partitions. More links go through
+    large-star and small-star steps in turn, which keep the components and end in stars around their
+    smallest nodes, until so few are left or nothing changes; each step is two shuffles of at most as
+    many rows as there are links, and minima are combined before the shuffle, so that one node with very
+    many links is no bottleneck. Nodes without links do not appear. No links: no rows.
     """
-    links = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
+    links = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u != v").distinct())
     state = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == state or not now[0]:
+        if now[0] <= JOINED:
+            return links.coalesce(1).mapInArrow(tidy(_joined), "node long, component long")
+        if now == state:
             break
         state = now
         both = links.union(links.select("v", "u"))

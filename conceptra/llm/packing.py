@@ -119,6 +119,10 @@ def packed_ids(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.array([_ZSTD.compress(data[a:b], asbytes=True) for a, b in zip([0, *ends], ends)], pa.binary())
 
 
+def packed_rows(found: np.ndarray) -> pa.Array:
+    return pa.array([_ZSTD.compress(row.tobytes(), asbytes=True) for row in found], pa.binary())
+
+
 def unpacked_ids(column: pa.Array, sizes: np.ndarray, kind) -> list[np.ndarray]:
     """What ``packed_ids`` was given, document by document."""
     width = np.dtype(kind).itemsize
@@ -331,9 +335,13 @@ def fitted(tokenised: DataFrame, rows: int, ends: np.ndarray) -> Tree:
     share = sample_share(2 * SAMPLE, rows)
     hashed = F.pmod(F.xxhash64("key"), F.lit(1 << 62))
     some = tokenised.select("tokens", "ids", hashed.alias("hash")).filter(F.col("hash") < share)
-    made = some.mapInArrow(lambda batches: _of_batches(batches, ["hash"], ends, lambda found: pa.array([v.tobytes() for v in found], pa.binary())), "hash long, made binary")
+    # a vector has few different values; compressed, the sample takes little of the driver's memory
+    made = some.mapInArrow(lambda batches: _of_batches(batches, ["hash"], ends, packed_rows), "hash long, made binary")
     found = made.orderBy("hash").limit(SAMPLE).toArrow().column("made").to_pylist()
-    return Tree(np.frombuffer(b"".join(found), np.float32).reshape(-1, WIDTH))
+    sample = np.empty((len(found), WIDTH), np.float32)
+    for row, vector in zip(sample, found):
+        row[:] = np.frombuffer(_ZSTD.decompress(vector, row.nbytes), np.float32)
+    return Tree(sample)
 
 
 def celled(tokenised: DataFrame, rows: int, ends: np.ndarray) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conceptra.llm import embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, registry, repeats, sentence_spans, sharding, token_counts
+from conceptra.llm import common, embedding_dedup, exact_dedup, language_id, mixing, ngram_join, packing, registry, repeats, sentence_spans, sharding, token_counts
 from conceptra.llm.common import components, cut, sample_share, word_hashes
 from conceptra.llm import words as words_module
 from conceptra.llm.words import word_tokenizer
@@ -72,6 +73,28 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, run):
+    """What run() returns, and the number of jobs it started."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, "counted")
+    try:
+        return run(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setJobGroup("others", "others")
+
+
+def test_components_of_a_chain_start_few_jobs(spark, monkeypatch):
+    rng = random.Random(2)
+    names = rng.sample(range(-10_000, 10_000), 500)
+    chain = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    found, jobs = jobs_of(spark, lambda: {tuple(r) for r in components(chain).collect()})
+    assert found == {(n, min(names)) for n in names} and jobs <= 8
+    # more links than one task joins: steps on all machines first, with the same result
+    monkeypatch.setattr(common, "JOINED", 40)
+    again, more = jobs_of(spark, lambda: {tuple(r) for r in components(chain).collect()})
+    assert again | {(min(names), min(names))} == found and more > jobs
+
+
 # 1: n-gram Jaccard join
 
 
